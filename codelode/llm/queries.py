@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from codelode.common import table
-from codelode.llm import term_weight, value_counts
+from codelode.llm import abuse, leakage, term_weight, value_counts
 
 QUERIES = {
     "p3_found": lambda s, d: term_weight.leading_terms(term_weight.term_scores(table(s, d, "search_units"), table(s, d, "probe_units"))),
     "p3_scores": lambda s, d: term_weight.term_scores(table(s, d, "search_units")),
     "p7_found": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")).where("mark IS NOT NULL").select("callee_name", "mark"),
     "p7_counts": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")),
+    "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
+    "p9_report": lambda s, d: leakage.leak_report(leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")), table(s, d, "eval_items")),
+    "p10_found": lambda s, d: abuse.abuse_scores(table(s, d, "documents")).where("score >= 0.5").select("doc_id"),
+    "p10_scores": lambda s, d: abuse.abuse_scores(table(s, d, "documents")),
+    "p10_rates": lambda s, d: abuse.abuse_rates(abuse.abuse_scores(table(s, d, "documents"))),
 }
 
 _SCORES = """
