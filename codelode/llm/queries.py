@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from codelode.common import table
-from codelode.llm import abuse, leakage, provenance, term_weight, value_counts
+from codelode.llm import abuse, leakage, provenance, syntax, term_weight, value_counts
 
 QUERIES = {
+    "p2_found": lambda s, d: syntax.broken(table(s, d, "documents")),
+    "p2_rates": lambda s, d: syntax.rates(table(s, d, "documents"), table(s, d, "file_parse")),
     "p3_found": lambda s, d: term_weight.leading_terms(term_weight.term_scores(table(s, d, "search_units"), table(s, d, "probe_units"))),
     "p3_scores": lambda s, d: term_weight.term_scores(table(s, d, "search_units")),
     "p4_found": lambda s, d: provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse"))).select("repo", "path"),
