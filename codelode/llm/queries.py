@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codelode.common import table
-from codelode.llm import abuse, leakage, provenance, syntax, term_weight, value_counts
+from codelode.llm import abuse, function_docs, leakage, provenance, syntax, term_weight, value_counts
 
 QUERIES = {
     "p2_found": lambda s, d: syntax.broken(table(s, d, "documents")),
@@ -12,6 +12,8 @@ QUERIES = {
     "p3_scores": lambda s, d: term_weight.term_scores(table(s, d, "search_units")),
     "p4_found": lambda s, d: provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse"))).select("repo", "path"),
     "p4_kinds": lambda s, d: provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse"))),
+    "p5_found": lambda s, d: function_docs.documented_functions(table(s, d, "documents"), table(s, d, "file_parse")).select("repo", "path", "qualified_name"),
+    "p5_pairs": lambda s, d: function_docs.documented_functions(table(s, d, "documents"), table(s, d, "file_parse")),
     "p7_found": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")).where("mark IS NOT NULL").select("callee_name", "mark"),
     "p7_counts": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")),
     "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
