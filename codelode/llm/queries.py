@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codelode.common import table
-from codelode.llm import abuse, function_docs, leakage, provenance, syntax, term_weight, value_counts
+from codelode.llm import abuse, function_docs, leakage, packing, provenance, syntax, term_weight, value_counts
 
 QUERIES = {
     "p2_found": lambda s, d: syntax.broken(table(s, d, "documents")),
@@ -16,6 +16,8 @@ QUERIES = {
     "p5_pairs": lambda s, d: function_docs.documented_functions(table(s, d, "documents"), table(s, d, "file_parse")),
     "p7_found": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")).where("mark IS NOT NULL").select("callee_name", "mark"),
     "p7_counts": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")),
+    "p8_containers": lambda s, d: packing.packed(table(s, d, "documents"), table(s, d, "context_windows")),
+    "p8_unused": lambda s, d: packing.unused(packing.packed(table(s, d, "documents"), table(s, d, "context_windows")), table(s, d, "context_windows")),
     "p9_found": lambda s, d: leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")).select("doc_id", "item_id"),
     "p9_report": lambda s, d: leakage.leak_report(leakage.leaks(table(s, d, "documents"), table(s, d, "eval_items")), table(s, d, "eval_items")),
     "p10_found": lambda s, d: abuse.abuse_scores(table(s, d, "documents")).where("score >= 0.5").select("doc_id"),
