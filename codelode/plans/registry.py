@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import general
+from codelode.plans import general, records
 
-MODULES = (general,)
+MODULES = (general, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
