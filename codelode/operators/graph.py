@@ -75,36 +75,28 @@ def neighbours(nodes_: DataFrame, pairs: DataFrame, name: str, callers: bool) ->
 
 
 def reach(pairs: DataFrame, start: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Breadth-first search from the nodes in ``start`` (``repo, node``; one per repository): ``repo, node, hops, parent, rank``.
+    """Breadth-first search from the nodes in ``start`` (``repo, node``; one per repository): ``repo, node, hops, trail``.
 
-    Each level joins the frontier with the pairs; of several parents the one found first (lowest rank, which is the order of discovery) holds. Levels are written to the shared folder, so that
-    plans stay flat and a lost executor costs one level.
+    ``trail`` holds the walked nodes from the start to the node. Nodes of a level are discovered in the order of their parents and, below one parent, of the nodes: that is the order of the trails,
+    so the smallest trail is the one found first, and no ranking of a whole level is needed. Levels are written to the shared folder, so that plans stay flat and a lost executor costs
+    one level.
     """
     edge = pairs.select("repo", F.col("caller").alias("node"), F.col("callee").alias("next"))
-    from pyspark.sql import Window
-
-    none = F.lit(None).cast(start.schema["node"].dataType)
-    level = written(start.select("repo", "node", F.lit(0).cast("bigint").alias("hops"), none.alias("parent"), F.lit(1).cast("bigint").alias("rank")), "reach-0")
+    level = written(start.select("repo", "node", F.lit(0).cast("bigint").alias("hops"), F.array("node").alias("trail")), "reach-0")
     seen = level
     for hop in range(1, max_hops + 1):
-        found = level.join(edge, ["repo", "node"]).groupBy("repo", "next").agg(F.min(F.struct("rank", "node")).alias("from"))
-        found = found.select("repo", F.col("next").alias("node"), "from").join(seen.select("repo", "node"), ["repo", "node"], "left_anti")
-        # the order of discovery inside a level: by the parent's rank, then by node; one repository's frontier is one window
-        ranked = F.row_number().over(Window.partitionBy("repo").orderBy("from.rank", "node"))
-        level = written(found.select("repo", "node", F.lit(hop).cast("bigint").alias("hops"), F.col("from.node").alias("parent"), ranked.cast("bigint").alias("rank")), f"reach-{hop}")
+        found = level.join(edge, ["repo", "node"]).groupBy("repo", "next").agg(F.min("trail").alias("trail"))
+        fresh = found.withColumnRenamed("next", "node").join(seen.select("repo", "node"), ["repo", "node"], "left_anti")
+        level = written(fresh.select("repo", "node", F.lit(hop).cast("bigint").alias("hops"), F.concat("trail", F.array("node")).alias("trail")), f"reach-{hop}")
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
     return seen
 
 
-def path_to(tree: DataFrame, repo: str, node: tuple[str, int]) -> list[tuple[str, int]]:
-    """The walked nodes from the start of ``tree`` to ``node``, empty if it is out of reach. At most one row per hop comes to the driver."""
-    path, at = [], node
-    while at is not None:
-        found = tree.where((F.col("repo") == repo) & (F.col("node.path") == at[0]) & (F.col("node.sym_ord") == at[1])).first()
-        if found is None:
-            return []
-        path.append(at)
-        at = None if found["parent"] is None else (found["parent"]["path"], found["parent"]["sym_ord"])
-    return path[::-1]
+def shortest_path(pairs: DataFrame, repo: str, source: tuple[str, int], target: tuple[str, int], max_hops: int = 8) -> list[tuple[str, int]]:
+    """The walked nodes from ``source`` to ``target``; one node if they are the same, empty if ``target`` is out of reach within ``max_hops``."""
+    node = F.struct(F.lit(source[0]).alias("path"), F.lit(source[1]).cast("bigint").alias("sym_ord"))
+    start = pairs.sparkSession.range(1).select(F.lit(repo).alias("repo"), node.alias("node"))
+    found = reach(pairs.where(F.col("repo") == repo), start, max_hops).where((F.col("node.path") == target[0]) & (F.col("node.sym_ord") == target[1])).first()
+    return [(n["path"], n["sym_ord"]) for n in found["trail"]] if found else []

@@ -50,8 +50,8 @@ def bindings(occurrences: DataFrame, kinds: DataFrame) -> DataFrame:
     impls = ident.where("i.is_impl").groupBy("i.trait", "i.method").agg(F.sort_array(F.collect_set(F.struct(F.col("def_file").alias("file"), F.col("def_line").alias("line"), display_name(F.col("symbol")).alias("qualified_name")))).alias("impl_candidates"))
     rows = refs.withColumn("i", trait_identity(F.col("symbol"))).withColumn("trait", F.when(~F.col("i.is_impl"), F.col("i.trait"))).withColumn("method", F.col("i.method"))
     rows = rows.join(impls, ["trait", "method"], "left")
-    none = F.array().cast("array<struct<file:string,line:int,qualified_name:string>>")
-    return rows.select("file", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"), "symbol", F.col("def_file").alias("callee_file"), F.col("def_line").cast("bigint").alias("callee_line"), display_name(F.col("symbol")).alias("callee_qualified_name"), F.when(F.col("impl_candidates").isNotNull(), "trait").otherwise("static").alias("dispatch"), F.coalesce("impl_candidates", none.cast(impls.schema["impl_candidates"].dataType)).alias("impl_candidates"))
+    none = F.array().cast(impls.schema["impl_candidates"].dataType)
+    return rows.select("file", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"), "symbol", F.col("def_file").alias("callee_file"), F.col("def_line").cast("bigint").alias("callee_line"), display_name(F.col("symbol")).alias("callee_qualified_name"), F.when(F.col("impl_candidates").isNotNull(), "trait").otherwise("static").alias("dispatch"), F.coalesce("impl_candidates", none).alias("impl_candidates"))
 
 
 def aligned(bindings_: DataFrame, symbols_: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import general, records
+from codelode.plans import general, linking, records
 
-MODULES = (general, records)
+MODULES = (general, records, linking)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
