@@ -49,11 +49,12 @@ def answers_of(json: Column, k: Column) -> tuple[Column, Column]:
 def gated(rows: DataFrame, cache: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds ``q, scope, verdict`` to candidates and removes the dropped ones.
 
-    ``cache``: ``key, ord, q, scope``; of equal keys the lowest ``ord`` holds. Candidates whose ``key`` is not in the cache go to ``evaluate``, which returns ``key, q, scope``.
+    ``cache``: ``key, ord, q, scope``; of equal keys the lowest ``ord`` holds. Candidates whose ``key`` is not in the cache go to ``evaluate``, which returns ``key, q, scope``
+    (of several answers for a key the greatest holds).
     """
     known = cache.groupBy("key").agg(F.min_by(F.struct("q", "scope"), "ord").alias("a"))
     hits = rows.join(known, "key").select(*rows.columns, "a.q", "a.scope")
     misses = rows.join(known.select("key"), "key", "left_anti")
-    fresh = misses.join(evaluate(misses).groupBy("key").agg(F.first("q").alias("q"), F.first("scope").alias("scope")), "key", "left")
+    fresh = misses.join(evaluate(misses).groupBy("key").agg(F.max(F.struct("q", "scope")).alias("a")).select("key", "a.q", "a.scope"), "key", "left")
     both = hits.unionByName(fresh.select(*rows.columns, F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("scope", F.lit(0.0)).alias("scope")))
     return both.withColumn("verdict", verdict(F.col("q"), F.col("scope"))).where("verdict <> 'dropped'")

@@ -28,7 +28,7 @@ def in_file(files: DataFrame) -> DataFrame:
     rows = c.select("repo", "path", "call_ord", "caller_local_key", "callee_name").join(language, ["repo", "path"])
     caller = s.select("repo", "path", F.col("local_key").alias("caller_local_key"), F.col("qualified_name").alias("caller_name"), "sym_ord").groupBy("repo", "path", "caller_local_key").agg(F.min_by("caller_name", "sym_ord").alias("caller_name"))
     rows = rows.join(caller, ["repo", "path", "caller_local_key"], "left")
-    scoped = F.when(F.col("language") == "Rust", F.when(F.col("callee_name").contains("::"), F.col("callee_name")).otherwise(F.concat_ws("::", module_prefix(F.col("caller_name")), "callee_name")))
+    scoped = F.when((F.col("language") == "Rust") & F.col("callee_name").isNotNull(), F.when(F.col("callee_name").contains("::"), F.col("callee_name")).otherwise(F.concat_ws("::", module_prefix(F.col("caller_name")), "callee_name")))
     rows = rows.withColumn("k_name", F.when(F.col("language") != "Rust", F.col("callee_name"))).withColumn("k_qualified", F.coalesce(scoped, "callee_name"))
     rows = rows.withColumn("k_root", F.when((F.col("language") == "Rust") & ~F.col("callee_name").contains("::"), F.col("callee_name"))).withColumn("k_first", F.when((F.col("language") == "JavaScript") & F.col("callee_name").contains("."), F.substring_index("callee_name", ".", 1)))
     root = F.when(~F.col("qualified_name").contains("::"), F.col("qualified_name"))

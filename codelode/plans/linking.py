@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codelode.common import table
 from codelode.functions import text as T
 from codelode.operators import graph, resolve, scip, tables
-from codelode.plans.records import CALL, CUR, SYM, current
+from codelode.plans.records import _BY_NAME, _BY_PATH, CALL, CUR, SYM, current
 
 def _by_language(s: SparkSession, d: str) -> DataFrame:
     rows = current(s, d, "language", "symbols", "calls")
@@ -127,7 +127,31 @@ bound AS (SELECT DISTINCT o.doc AS file, o.line, symbol, callee_file, callee_lin
 _GRAPH = f"WITH {_JOINT}, {SYM}, {_JOINT_CALL}, {_EDGES}"
 _HEADS = f"WITH {CUR}, {SYM}, {CALL}, "
 
+_PROBE = "CASE WHEN contains(list_extract(string_split(candidate, '/'), -1), '.') THEN [''] ELSE ['', '.ts', '.tsx', '.js', '.jsx', '/index.ts', '/index.tsx', '/index.js', '/index.jsx'] END"
+_NORMAL = r"""list_reduce(string_split(regexp_replace(path, '/?[^/]*$', '') || '/' || target_module, '/'), lambda a, p: CASE WHEN p IN ('', '.') THEN a WHEN p = '..' THEN CASE WHEN contains(a, '/') THEN regexp_replace(a, '/[^/]*$', '') ELSE '' END WHEN a = '' THEN p ELSE a || '/' || p END, '')"""
+_BY_EXT = r"regexp_matches(path, '\.(tsx?|[mc]?js|jsx)$')"
+
 ORACLE = {
+    "resolve_in_file": rf"""WITH {CUR}, {SYM}, {CALL}, lang AS (SELECT repo, path, coalesce({_BY_NAME}, {_BY_PATH}) AS language FROM cur),
+      by_name AS (SELECT repo, path, name AS k, min_by(local_key, sym_ord) AS v FROM sym WHERE name IS NOT NULL GROUP BY ALL), by_qual AS (SELECT repo, path, qualified_name AS k, min_by(local_key, sym_ord) AS v FROM sym WHERE qualified_name IS NOT NULL GROUP BY ALL),
+      who AS (SELECT repo, path, local_key, min_by(qualified_name, sym_ord) AS caller_name FROM sym GROUP BY ALL),
+      c AS (SELECT call.*, language, caller_name, contains(callee_name, '::') AS scoped FROM call JOIN lang USING (repo, path) LEFT JOIN who ON call.repo = who.repo AND call.path = who.path AND call.caller_local_key = who.local_key),
+      k AS (SELECT *, CASE WHEN language = 'Rust' AND NOT scoped THEN concat_ws('::', CASE WHEN contains(caller_name, '::') THEN regexp_extract(caller_name, '^(?s:(.*))::', 1) END, callee_name) ELSE callee_name END AS kq,
+        CASE WHEN language = 'JavaScript' AND contains(callee_name, '.') THEN string_split(callee_name, '.')[1] END AS kf FROM c)
+      SELECT k.repo, k.path, call_ord, callee_name, CASE WHEN language = 'Rust' THEN coalesce(q.v, CASE WHEN NOT scoped AND NOT contains(callee_name, '::') THEN r.v END) ELSE coalesce(n.v, q.v, f.v) END AS local_key,
+        coalesce(CASE WHEN language = 'Rust' THEN q.v IS NULL ELSE coalesce(n.v, q.v, f.v) IS NULL END AND scoped AND language IN ('Rust', 'TypeScript'), false) AS external
+      FROM k LEFT JOIN by_name n ON k.repo = n.repo AND k.path = n.path AND callee_name = n.k AND language <> 'Rust' LEFT JOIN by_qual q ON k.repo = q.repo AND k.path = q.path AND kq = q.k
+        LEFT JOIN by_qual r ON k.repo = r.repo AND k.path = r.path AND callee_name = r.k AND NOT contains(r.k, '::') LEFT JOIN by_name f ON k.repo = f.repo AND k.path = f.path AND kf = f.k""",
+    "resolve_links": rf"""WITH {CUR}, imp AS (SELECT repo, path, k - 1 AS imp_ord, i.target_module FROM (SELECT repo, path, generate_subscripts(imports, 1) AS k, unnest(imports) AS i FROM cur) WHERE i IS NOT NULL AND {_BY_EXT}
+        UNION ALL SELECT repo, path, -1, './x/../' || regexp_replace(list_extract(string_split(path, '/'), -1), '\.\w+$', '') FROM cur),
+      c AS (SELECT *, CASE WHEN starts_with(target_module, './') OR starts_with(target_module, '../') THEN {_NORMAL} END AS candidate FROM imp),
+      t AS (SELECT repo, candidate, generate_subscripts(p, 1) AS k, unnest(p) AS tail FROM (SELECT DISTINCT repo, candidate, {_PROBE} AS p FROM c WHERE candidate IS NOT NULL)),
+      hit AS (SELECT t.repo, candidate, min_by(candidate || tail, k) AS resolved FROM t SEMI JOIN cur ON t.repo = cur.repo AND candidate || tail = cur.path GROUP BY ALL)
+      SELECT c.repo, c.path, imp_ord, target_module, c.candidate, resolved FROM c LEFT JOIN hit ON c.repo = hit.repo AND c.candidate = hit.candidate""",
+    "nearest_prefix_config": rf"""WITH {CUR}, conf AS (SELECT DISTINCT repo, regexp_extract(path, '^((?:packages|crates|src)/[^/]+)/', 1) AS dir FROM cur WHERE regexp_matches(path, '^(?:packages|crates|src)/[^/]+/')),
+      imp AS (SELECT repo, path, k - 1 AS imp_ord, regexp_replace(i.target_module, '^\./', '@/') AS target_module FROM (SELECT repo, path, generate_subscripts(imports, 1) AS k, unnest(imports) AS i FROM cur) WHERE i IS NOT NULL),
+      near AS (SELECT i.*, (SELECT max_by(dir, length(dir)) FROM conf c WHERE c.repo = i.repo AND starts_with(i.path, c.dir || '/')) AS dir FROM imp i)
+      SELECT *, CASE WHEN starts_with(target_module, '../') THEN {_NORMAL} WHEN dir IS NULL THEN NULL WHEN starts_with(target_module, '@/') THEN dir || '/lib/' || substr(target_module, 3) WHEN target_module = 'core.chapter' THEN dir || '/index' END AS candidate FROM near""",
     "resolve_cross_file": f"""WITH {CUR}, {SYM}, {CALL}, index AS (SELECT repo, qualified_name, min(path) AS found FROM sym WHERE contains(qualified_name, '::') GROUP BY ALL)
       SELECT c.repo, c.path, call_ord, callee_name, CASE WHEN o AND found <> c.path THEN found ELSE callee_file END AS callee_file, CASE WHEN o AND found <> c.path THEN false WHEN o AND found IS NULL THEN true ELSE callee_external END AS callee_external
       FROM (SELECT *, callee_local_key IS NULL AND callee_file IS NULL AND contains(callee_name, '::') AS o FROM call WHERE callee_name IS NOT NULL UNION ALL SELECT *, false FROM call WHERE callee_name IS NULL) c LEFT JOIN index i ON c.repo = i.repo AND c.callee_name = i.qualified_name""",

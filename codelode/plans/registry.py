@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import general, linking, records
+from codelode.plans import general, linking, records, retrieval
 
-MODULES = (general, records, linking)
+MODULES = (general, records, linking, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
