@@ -47,27 +47,45 @@ def file_card_lines(path: Column, language: Column, line_count: Column, content_
     )
 
 
-def file_cards(files: DataFrame) -> DataFrame:
-    """``repo, path, card_version, est_tokens, text``: the estimate is of the whole text, the text is cut to whole lines. Null lists count as empty, a null language or hash as an empty word."""
-    empty = lambda c: F.coalesce(F.col(c), F.array())
-    lines = file_card_lines(F.col("path"), F.coalesce("language", F.lit("")), F.coalesce("line_count", F.lit(0)), F.coalesce("content_hash", F.lit("")), empty("imports"), empty("symbols"), empty("calls"))
-    rows = files.select("repo", "path", lines.alias("lines")).withColumn("whole", F.array_join("lines", "\n"))
-    text = F.when(F.octet_length("whole") > FILE_BYTES, fitted_lines(F.col("lines"), FILE_BYTES)).otherwise(F.col("whole"))
-    return rows.select("repo", "path", F.lit(1).cast("bigint").alias("card_version"), est_tokens("whole").alias("est_tokens"), text.alias("text"))
+def _empty(column: str) -> Column:
+    return F.coalesce(F.col(column), F.array())
 
 
-def symbol_cards(files: DataFrame) -> DataFrame:
-    """``repo, path, sym_ord, card_version, est_tokens, text``: one card per symbol; the estimate is of the text as cut."""
-    rows = files.select("repo", "path", F.coalesce("calls", F.array()).alias("calls"), F.posexplode("symbols").alias("sym_ord", "s"))
-    mine = F.filter("calls", lambda c: c["caller_local_key"] == F.col("s.local_key"))
+def _file_card() -> Column:
+    """Card of a record as a struct; the estimate is of the whole text, the text is cut to whole lines."""
+    lines = file_card_lines(F.col("path"), F.coalesce("language", F.lit("")), F.coalesce("line_count", F.lit(0)), F.coalesce("content_hash", F.lit("")), _empty("imports"), _empty("symbols"), _empty("calls"))
+    whole = F.array_join(lines, "\n")
+    text = F.when(F.octet_length(whole) > FILE_BYTES, fitted_lines(lines, FILE_BYTES)).otherwise(whole)
+    return F.struct(F.lit(1).cast("bigint").alias("card_version"), est_tokens(whole).alias("est_tokens"), text.alias("text"))
+
+
+def _symbol_card(s: Column, calls: Column) -> Column:
+    """Card of a symbol as a struct; the estimate is of the text as cut."""
+    mine = F.filter(calls, lambda c: c["caller_local_key"] == s["local_key"])
     names = F.array_sort(F.array_distinct(F.filter(F.transform(mine, lambda c: c["callee_name"]), lambda n: n.isNotNull() & ~is_noise(n))))
-    rows = rows.withColumn("names", names)
-    doc = F.substring("s.docstring", 1, DOC_CHARS)
-    calls_line = F.concat_ws(" ", F.concat(F.lit("CALLS "), F.array_join(F.slice("names", 1, SYMBOL_CALLEES), ", ")), _more(F.size("names"), SYMBOL_CALLEES, "(+{})"))
+    doc = F.substring(s["docstring"], 1, DOC_CHARS)
+    calls_line = F.concat_ws(" ", F.concat(F.lit("CALLS "), F.array_join(F.slice(names, 1, SYMBOL_CALLEES), ", ")), _more(F.size(names), SYMBOL_CALLEES, "(+{})"))
     lines = F.array_compact(F.array(
-        F.concat(F.lit("SYM path="), F.col("path"), F.lit(" qname="), F.col("s.qualified_name"), F.lit(" kind="), F.col("s.kind"), F.lit(" L"), F.col("s.start_line"), F.lit("-"), F.col("s.end_line")),
-        F.concat(F.lit("SIG "), F.col("s.signature")), F.when(doc != "", F.concat(F.lit("DOC "), doc)), F.when(F.size("names") > 0, calls_line),
+        F.concat(F.lit("SYM path="), F.col("path"), F.lit(" qname="), s["qualified_name"], F.lit(" kind="), s["kind"], F.lit(" L"), s["start_line"], F.lit("-"), s["end_line"]),
+        F.concat(F.lit("SIG "), s["signature"]), F.when(doc != "", F.concat(F.lit("DOC "), doc)), F.when(F.size(names) > 0, calls_line),
     ))
-    rows = rows.select("repo", "path", F.col("sym_ord").cast("bigint").alias("sym_ord"), lines.alias("lines")).withColumn("whole", F.array_join("lines", "\n"))
-    text = F.when(F.octet_length("whole") > SYMBOL_BYTES, fitted_lines(F.col("lines"), SYMBOL_BYTES)).otherwise(F.col("whole"))
-    return rows.withColumn("text", text).select("repo", "path", "sym_ord", F.lit(1).cast("bigint").alias("card_version"), est_tokens("text").alias("est_tokens"), "text")
+    whole = F.array_join(lines, "\n")
+    text = F.when(F.octet_length(whole) > SYMBOL_BYTES, fitted_lines(lines, SYMBOL_BYTES)).otherwise(whole)
+    return F.struct(F.lit(1).cast("bigint").alias("card_version"), est_tokens(text).alias("est_tokens"), text.alias("text"))
+
+
+def file_cards(files: DataFrame) -> DataFrame:
+    """``repo, path, card_version, est_tokens, text``. Null lists count as empty, a null language or hash as an empty word."""
+    return files.select("repo", "path", _file_card().alias("card")).select("repo", "path", "card.*")
+
+
+def symbol_cards(files: DataFrame) -> DataFrame:
+    """``repo, path, sym_ord, card_version, est_tokens, text``: one card per symbol."""
+    rows = files.select("repo", "path", _empty("calls").alias("calls"), F.posexplode("symbols").alias("sym_ord", "s"))
+    return rows.select("repo", "path", F.col("sym_ord").cast("bigint").alias("sym_ord"), _symbol_card(F.col("s"), F.col("calls")).alias("card")).select("repo", "path", "sym_ord", "card.*")
+
+
+def with_cards(records: DataFrame) -> DataFrame:
+    """Records with fresh cards, as many symbol cards as symbols."""
+    calls = _empty("calls")
+    return records.withColumn("retrieval_card", _file_card()).withColumn("symbol_cards", F.transform(_empty("symbols"), lambda s: _symbol_card(s, calls)))

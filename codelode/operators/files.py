@@ -33,7 +33,7 @@ def of_languages(files: DataFrame, names: list[str]) -> DataFrame:
 def line_counts(texts: DataFrame) -> DataFrame:
     """``repo, path, code_lines, comment_lines, blank_lines, total_lines`` from the text: a line is a comment if a comment begins at its first sign or it lies inside a block comment that began so; blank if it has only white space.
 
-    Block comments are followed by a fold over the lines of one text. An empty text counts nothing.
+    Block comments are followed by a fold over the lines of one text. What follows the last line break is a line, too; an empty text counts nothing.
     """
     kind = language_of_path(F.col("path"))
     start = F.struct(F.lit(0).cast("bigint").alias("code"), F.lit(0).cast("bigint").alias("comment"), F.lit(0).cast("bigint").alias("blank"), F.lit(False).alias("inside"))
@@ -52,7 +52,7 @@ def line_counts(texts: DataFrame) -> DataFrame:
             ((got["inside"] | opens) & ~closes).alias("inside"),
         )
 
-    lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("text", "\n$", ""), "\n"))
+    lines = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", "\n"))
     rows = texts.where(F.col("text").isNotNull()).select("repo", "path", F.aggregate(lines, start, fold).alias("m"), F.size(lines).cast("bigint").alias("total_lines"))
     return rows.select("repo", "path", F.col("m.code").alias("code_lines"), F.col("m.comment").alias("comment_lines"), F.col("m.blank").alias("blank_lines"), "total_lines")
 

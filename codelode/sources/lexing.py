@@ -69,8 +69,8 @@ _RUST_COMMENT = re.compile(r"/\*|\*/")
 _ENDS_VALUE = frozenset(["i", "n", "s", "r", "t", "t)", ")", "]", "this", "super", "null", "true", "false", "++", "--"])
 
 
-def js_tokens(source: str) -> Tokens:
-    """Tokens of a script or module, TypeScript included."""
+def js_tokens(source: str, broken: list[Unlexable] | None = None) -> Tokens:
+    """Tokens of a script or module, TypeScript included. With ``broken`` a text that breaks off gives the tokens so far, open brackets closed at the end, and its error in that list."""
     kinds: list[str] = []
     texts: list[str] = []
     starts: list[int] = []
@@ -85,72 +85,81 @@ def js_tokens(source: str) -> Tokens:
     if source.startswith("#!"):
         at = source.find("\n")
         at = end if at < 0 else at
-    while at < end:
-        m = scan(source, at)
-        if m is None:
-            raise Unlexable("unexpected character", at)
-        group = m.lastgroup
-        if group == "w":
-            newline = newline or "\n" in m.group()
-            at = m.end()
-            continue
-        text = m.group()
-        if group == "i":
-            kind = text if text in words else "i"
-        elif group == "p":
-            kind = text
-            if text == "/" or text == "/=":
-                before = kinds[-1] if kinds else ""
-                if before not in _ENDS_VALUE:
-                    m = _JS_REGEX.match(source, at)
-                    if m is None:
-                        raise Unlexable("unterminated regular expression", at)
-                    text, kind = m.group(), "r"
-            elif text in "([{":
-                open_.append(len(kinds))
-            elif text in CLOSING:
-                if not open_:
-                    raise Unlexable("unexpected " + text, at)
-                partner = open_.pop()
-                if kinds[partner] in ("t(", "t,"):
-                    if text != "}":
+    try:
+        while at < end:
+            m = scan(source, at)
+            if m is None:
+                raise Unlexable("unexpected character", at)
+            group = m.lastgroup
+            if group == "w":
+                newline = newline or "\n" in m.group()
+                at = m.end()
+                continue
+            text = m.group()
+            if group == "i":
+                kind = text if text in words else "i"
+            elif group == "p":
+                kind = text
+                if text == "/" or text == "/=":
+                    before = kinds[-1] if kinds else ""
+                    if before not in _ENDS_VALUE:
+                        m = _JS_REGEX.match(source, at)
+                        if m is None:
+                            raise Unlexable("unterminated regular expression", at)
+                        text, kind = m.group(), "r"
+                elif text in "([{":
+                    open_.append(len(kinds))
+                elif text in CLOSING:
+                    if not open_:
+                        raise Unlexable("unexpected " + text, at)
+                    partner = open_.pop()
+                    if kinds[partner] in ("t(", "t,"):
+                        if text != "}":
+                            raise Unlexable("unexpected " + text, at)
+                        m = _TEMPLATE.match(source, at + 1)
+                        if m is None:
+                            raise Unlexable("unterminated template", at)
+                        if m.group(1) == "`":
+                            kind = "t)"
+                        else:
+                            kind = "t,"
+                            open_.append(len(kinds))
+                    elif kinds[partner] != CLOSING[text]:
                         raise Unlexable("unexpected " + text, at)
-                    m = _TEMPLATE.match(source, at + 1)
-                    if m is None:
-                        raise Unlexable("unterminated template", at)
-                    if m.group(1) == "`":
-                        kind = "t)"
                     else:
-                        kind = "t,"
-                        open_.append(len(kinds))
-                elif kinds[partner] != CLOSING[text]:
-                    raise Unlexable("unexpected " + text, at)
-                else:
-                    match[partner] = len(kinds)
-                    match[len(kinds)] = partner
-        elif group == "n" or group == "s":
-            kind = group
-        elif group == "k":
-            comments.append((at, m.end()))
-            newline = newline or text.startswith("//") or "\n" in text
+                        match[partner] = len(kinds)
+                        match[len(kinds)] = partner
+            elif group == "n" or group == "s":
+                kind = group
+            elif group == "k":
+                comments.append((at, m.end()))
+                newline = newline or text.startswith("//") or "\n" in text
+                at = m.end()
+                continue
+            else:
+                m = _TEMPLATE.match(source, at + 1)
+                if m is None:
+                    raise Unlexable("unterminated template", at)
+                kind = "t"
+                if m.group(1) != "`":
+                    kind = "t("
+                    open_.append(len(kinds))
+            kinds.append(kind)
+            texts.append(text)
+            starts.append(at)
+            breaks.append(newline)
+            newline = False
             at = m.end()
-            continue
-        else:
-            m = _TEMPLATE.match(source, at + 1)
-            if m is None:
-                raise Unlexable("unterminated template", at)
-            kind = "t"
-            if m.group(1) != "`":
-                kind = "t("
-                open_.append(len(kinds))
-        kinds.append(kind)
-        texts.append(text)
-        starts.append(at)
-        breaks.append(newline)
-        newline = False
-        at = m.end()
-    if open_:
+    except Unlexable as error:
+        if broken is None:
+            raise
+        broken.append(error)
+    if open_ and broken is None:
         raise Unlexable("never closed " + kinds[open_[-1]], starts[open_[-1]])
+    if open_ and not broken:
+        broken.append(Unlexable("never closed " + kinds[open_[-1]], starts[open_[-1]]))
+    for k in open_:
+        match[k] = len(kinds)
     kinds.append("")
     texts.append("")
     starts.append(end)
@@ -158,8 +167,8 @@ def js_tokens(source: str) -> Tokens:
     return Tokens(kinds, texts, starts, breaks, match, comments)
 
 
-def rust_tokens(source: str) -> Tokens:
-    """Tokens of a Rust file."""
+def rust_tokens(source: str, broken: list[Unlexable] | None = None) -> Tokens:
+    """Tokens of a Rust file; ``broken`` as in ``js_tokens``."""
     kinds: list[str] = []
     texts: list[str] = []
     starts: list[int] = []
@@ -172,50 +181,59 @@ def rust_tokens(source: str) -> Tokens:
     if source.startswith("#!") and not source[2:].lstrip().startswith("["):
         at = source.find("\n")
         at = end if at < 0 else at
-    while at < end:
-        m = scan(source, at)
-        if m is None:
-            raise Unlexable("unexpected character", at)
-        group = m.lastgroup
-        if group == "w":
-            at = m.end()
-            continue
-        text = m.group()
-        if group == "i":
-            kind = text if text in words else "i"
-        elif group == "p":
-            kind = text
-            if text in "([{":
-                open_.append(len(kinds))
-            elif text in CLOSING:
-                if not open_ or kinds[open_[-1]] != CLOSING[text]:
-                    raise Unlexable("unexpected " + text, at)
-                partner = open_.pop()
-                match[partner] = len(kinds)
-                match[len(kinds)] = partner
-        elif group == "k":
-            comments.append((at, m.end()))
+    try:
+        while at < end:
+            m = scan(source, at)
+            if m is None:
+                raise Unlexable("unexpected character", at)
+            group = m.lastgroup
+            if group == "w":
+                at = m.end()
+                continue
+            text = m.group()
+            if group == "i":
+                kind = text if text in words else "i"
+            elif group == "p":
+                kind = text
+                if text in "([{":
+                    open_.append(len(kinds))
+                elif text in CLOSING:
+                    if not open_ or kinds[open_[-1]] != CLOSING[text]:
+                        raise Unlexable("unexpected " + text, at)
+                    partner = open_.pop()
+                    match[partner] = len(kinds)
+                    match[len(kinds)] = partner
+            elif group == "k":
+                comments.append((at, m.end()))
+                at = m.end()
+                continue
+            elif group == "b":
+                depth, place = 1, at + 2
+                while depth:
+                    c = _RUST_COMMENT.search(source, place)
+                    if c is None:
+                        raise Unlexable("unterminated comment", at)
+                    depth += 1 if c.group() == "/*" else -1
+                    place = c.end()
+                comments.append((at, place))
+                at = place
+                continue
+            else:
+                kind = "s" if group == "h" else group
+            kinds.append(kind)
+            texts.append(text)
+            starts.append(at)
             at = m.end()
-            continue
-        elif group == "b":
-            depth, place = 1, at + 2
-            while depth:
-                c = _RUST_COMMENT.search(source, place)
-                if c is None:
-                    raise Unlexable("unterminated comment", at)
-                depth += 1 if c.group() == "/*" else -1
-                place = c.end()
-            comments.append((at, place))
-            at = place
-            continue
-        else:
-            kind = "s" if group == "h" else group
-        kinds.append(kind)
-        texts.append(text)
-        starts.append(at)
-        at = m.end()
-    if open_:
+    except Unlexable as error:
+        if broken is None:
+            raise
+        broken.append(error)
+    if open_ and broken is None:
         raise Unlexable("never closed " + kinds[open_[-1]], starts[open_[-1]])
+    if open_ and not broken:
+        broken.append(Unlexable("never closed " + kinds[open_[-1]], starts[open_[-1]]))
+    for k in open_:
+        match[k] = len(kinds)
     kinds.append("")
     texts.append("")
     starts.append(end)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions.text import language_of_path
+from codelode.operators.cards import with_cards
 from codelode.operators.files import MOST_BYTES
 
 
@@ -97,4 +98,4 @@ def parse(rows: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame([parse_text(p, t) for p, t in zip(batch["path"], batch["text"], strict=True)], columns=schema.names)
 
-    return rows.select("path", "text").mapInPandas(run, schema)
+    return with_cards(rows.select("path", "text").mapInPandas(run, schema))
