@@ -84,6 +84,37 @@ ORACLE = {
     "language_filter": f"WITH {CUR} SELECT repo, path, {_BY_PATH} AS by_path, {_BY_NAME} AS by_record FROM cur WHERE {_BY_PATH} IN ('TypeScript', 'Python')",
     "repo_totals": f"WITH {CUR} SELECT repo, count(*) AS n_files, sum(coalesce(len(symbols), 0))::BIGINT AS n_symbols, sum(coalesce(len(calls), 0))::BIGINT AS n_calls FROM cur GROUP BY repo",
     "check_status": f"WITH {CUR} SELECT repo, count(*) FILTER (x.severity = 'Error') AS n_errors, count(*) FILTER (x.severity = 'Warning') AS n_warnings, count(*) FILTER (x.severity = 'Error') > 0 AS failed FROM (SELECT repo, unnest(diagnostics) AS x FROM cur) WHERE x IS NOT NULL GROUP BY repo",
+    "file_card": rf"""WITH {CUR}, {SYM}, {CALL}, {_HISTOGRAM},
+      imp AS (SELECT repo, path, list_sort(list_distinct(list_transform(imports, lambda i: i.target_module))) AS m FROM cur WHERE len(imports) > 0),
+      ranked AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY list_position({T.KIND_ORDER}, kind), qualified_name, sym_ord) AS k, count(*) OVER (PARTITION BY repo, path) AS n FROM sym),
+      lines AS (SELECT repo, path, any_value(n) AS n, list('  ' || kind || ' ' || qualified_name || ' L' || start_line || '-' || end_line || coalesce(' sig=' || signature, '') ORDER BY k) FILTER (k <= 40) AS l FROM ranked GROUP BY repo, path),
+      pub AS (SELECT repo, path, string_agg(name, ', ' ORDER BY sym_ord) AS p FROM sym WHERE regexp_matches(name, '^\p{{Lu}}') GROUP BY repo, path),
+      hr AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY n DESC, name) AS k FROM hist), hl AS (SELECT repo, path, count(*) AS n, string_agg(name || '×' || n, ' ' ORDER BY k) FILTER (k <= 15) AS h FROM hr GROUP BY repo, path),
+      all_lines AS (SELECT c.repo, c.path, list_concat(['FILE path=' || c.path || ' lang=' || coalesce(language, '') || ' lines=' || coalesce(line_count, 0) || ' hash=' || coalesce(content_hash, '')[1:8]],
+        CASE WHEN m IS NOT NULL THEN ['IMPORTS ' || array_to_string(m[1:24], ', ') || CASE WHEN len(m) > 24 THEN ' (+' || (len(m) - 24) || ' more)' ELSE '' END] ELSE [] END,
+        CASE WHEN l.n > 0 THEN list_concat(['SYMBOLS'], l.l, CASE WHEN l.n > 40 THEN ['  (+' || (l.n - 40) || ' more)'] ELSE [] END) ELSE [] END,
+        CASE WHEN h.n > 0 THEN list_concat(['CALLS_OUT ' || h.h], CASE WHEN h.n > 15 THEN ['  (+' || (h.n - 15) || ' more)'] ELSE [] END) ELSE [] END,
+        CASE WHEN p.p IS NOT NULL THEN ['PUB ' || p.p] ELSE [] END) AS ll
+        FROM cur c LEFT JOIN imp USING (repo, path) LEFT JOIN lines l USING (repo, path) LEFT JOIN hl h USING (repo, path) LEFT JOIN pub p USING (repo, path)),
+      whole AS (SELECT *, array_to_string(ll, chr(10)) AS t FROM all_lines)
+      SELECT repo, path, 1::BIGINT AS card_version, ceil(octet_length(encode(t)) / 4)::BIGINT AS est_tokens, CASE WHEN octet_length(encode(t)) <= 2048 THEN t ELSE
+        list_reduce(list_transform(ll, lambda x: {{'t': x, 'f': false}}), lambda a, x: CASE WHEN a.f OR octet_length(encode(a.t)) + octet_length(encode(x.t)) + 1 > 2048 THEN {{'t': a.t, 'f': true}} ELSE {{'t': a.t || chr(10) || x.t, 'f': false}} END).t END AS text FROM whole""",
+    "symbol_card": rf"""WITH {CUR}, {SYM}, {CALL},
+      mine AS (SELECT s.repo, s.path, s.sym_ord, list_sort(list_distinct(list(c.callee_name))) AS names FROM sym s JOIN call c ON s.repo = c.repo AND s.path = c.path AND s.local_key = c.caller_local_key WHERE {_LAST.format('c.callee_name')} NOT IN {_NOISE} GROUP BY ALL),
+      card AS (SELECT s.repo, s.path, s.sym_ord, list_filter(['SYM path=' || s.path || ' qname=' || qualified_name || ' kind=' || kind || ' L' || start_line || '-' || end_line, 'SIG ' || signature, CASE WHEN docstring[1:240] <> '' THEN 'DOC ' || docstring[1:240] END,
+        CASE WHEN len(names) > 0 THEN 'CALLS ' || array_to_string(names[1:10], ', ') || CASE WHEN len(names) > 10 THEN ' (+' || (len(names) - 10) || ')' ELSE '' END END], lambda x: x IS NOT NULL) AS ll FROM sym s LEFT JOIN mine m USING (repo, path, sym_ord)),
+      whole AS (SELECT *, array_to_string(ll, chr(10)) AS t FROM card),
+      cut AS (SELECT repo, path, sym_ord, CASE WHEN octet_length(encode(t)) <= 512 THEN t ELSE
+        list_reduce(list_transform(ll, lambda x: {{'t': x, 'f': false}}), lambda a, x: CASE WHEN a.f OR octet_length(encode(a.t)) + octet_length(encode(x.t)) + 1 > 512 THEN {{'t': a.t, 'f': true}} ELSE {{'t': a.t || chr(10) || x.t, 'f': false}} END).t END AS text FROM whole)
+      SELECT repo, path, sym_ord, 1::BIGINT AS card_version, ceil(octet_length(encode(text)) / 4)::BIGINT AS est_tokens, text FROM cut""",
+    "line_metrics": rf"""WITH {_DOCS}, kinds AS (SELECT repo, path, {_BY_PATH} AS kind, generate_subscripts(string_split(text, chr(10)), 1) AS k, unnest(string_split(text, chr(10))) AS line FROM doc WHERE text <> ''),
+      bare AS (SELECT repo, path, k, kind, trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')) AS b FROM kinds),
+      turns AS (SELECT *, kind IS DISTINCT FROM 'Python' AND starts_with(b, '/*') AS opens, contains(b, '*/') AS closes FROM bare),
+      -- a line is inside a block if the last line before it that opened one (and did not close it) is not followed by a closing line
+      marks AS (SELECT *, max(CASE WHEN opens AND NOT closes THEN k END) OVER w AS o, max(CASE WHEN closes THEN k END) OVER w AS c FROM turns WINDOW w AS (PARTITION BY repo, path ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      state AS (SELECT *, o IS NOT NULL AND o > coalesce(c, 0) AS inside FROM marks),
+      told AS (SELECT repo, path, inside OR opens OR CASE WHEN kind = 'Python' THEN starts_with(b, '#') ELSE starts_with(b, '//') END AS comment, b = '' AND NOT inside AS blank FROM state)
+      SELECT d.repo, d.path, count(*) FILTER (NOT comment AND NOT blank) AS code_lines, count(*) FILTER (comment AND NOT blank) AS comment_lines, count(*) FILTER (blank) AS blank_lines, count(t.path) AS total_lines FROM doc d LEFT JOIN told t USING (repo, path) GROUP BY d.repo, d.path""",
     "call_histogram": f"WITH {CUR}, {CALL}, {_HISTOGRAM} SELECT repo, path, name, n FROM hist",
     "noise_filter": f"WITH {CUR}, {CALL} SELECT repo, path, call_ord, callee_name FROM call WHERE {_LAST.format('callee_name')} NOT IN {_NOISE}",
     "bare_names": f"WITH {CUR}, {CALL}, head AS (SELECT *, string_split(callee_name, '(')[1] AS h FROM call) SELECT repo, path, call_ord, CASE WHEN contains(h, '::') THEN nullif({_LAST.format('h')}, '') WHEN contains(h, '.') OR h = '' THEN NULL ELSE h END AS bare, {_LAST.format('callee_name')} AS \"last\", CASE WHEN contains(callee_name, '::') THEN regexp_extract(callee_name, '^(?s:(.*))::', 1) END AS prefix FROM head",

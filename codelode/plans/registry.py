@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.plans import general, linking, records, retrieval
+from codelode.plans import general, ingest, linking, records, retrieval
 
-MODULES = (general, records, linking, retrieval)
+MODULES = (general, records, linking, retrieval, ingest)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

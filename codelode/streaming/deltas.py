@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.common import written
 from codelode.operators import files, resolve
 from codelode.operators.tables import nested_calls
 from codelode.schema import RECORD_DDL
@@ -71,7 +72,8 @@ class RecordState:
 
     def snapshot(self, rows: DataFrame) -> DataFrame:
         """Starts over from all files (``repo, path, text``): the state, in which every file counts as updated."""
-        return self._write(self._resolved(self._parsed(self.ignored(rows)).withColumn("fingerprint", F.lit(None).cast("string"))))
+        parsed = written(self._parsed(self.ignored(rows)), "parsed")
+        return self._write(self._resolved(parsed.withColumn("fingerprint", F.lit(None).cast("string"))))
 
     def apply(self, changes: DataFrame, batch: int) -> DataFrame:
         """Applies a batch (see CHANGE) and gives its events ``event, repo, path, content_hash, batch, changed``: deletions, then every record that was parsed anew or whose edges changed though it was not touched, then the end of the batch.
@@ -89,7 +91,7 @@ class RecordState:
         if gone.isEmpty() and edits.isEmpty() and config.isEmpty():
             last.unpersist()
             return end(0)
-        parsed = self._parsed(edits.select("repo", "path", "text")).withColumn("fingerprint", F.lit(None).cast("string"))
+        parsed = written(self._parsed(edits.select("repo", "path", "text")).withColumn("fingerprint", F.lit(None).cast("string")), f"parsed-{batch}")
         kept = state.join(gone, ["repo", "path"], "left_anti").join(parsed.select("repo", "path"), ["repo", "path"], "left_anti")
         now = self._write(self._resolved(kept.unionByName(parsed.select(*kept.columns))))
         before = state.select("repo", "path", F.col("fingerprint").alias("old"), F.col("digest").alias("old_digest"))
@@ -97,8 +99,6 @@ class RecordState:
         n = lambda c: F.lit(c).cast("bigint")
         deleted = gone.select(F.lit("deleted").alias("event"), "repo", "path", F.lit(None).cast("string").alias("content_hash"), n(batch).alias("batch"), n(None).alias("changed"))
         updated = touched.select(F.lit("updated").alias("event"), "repo", "path", "content_hash", n(batch).alias("batch"), n(None).alias("changed"))
-        from codelode.common import written
-
         events = written(deleted.unionByName(updated), f"events-{batch}")
         last.unpersist()
         return events.unionByName(end(events.count()))
