@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.common import table
+from codelode.common import table, written
 from codelode.functions import text as T
 from codelode.operators import change_log, evaluate, files, gate, learn, search
 from codelode.plans.records import CUR, UNITS, current, texts
@@ -15,7 +15,8 @@ _LEXICON = (["replica", "sealed"], ["path", "kind"])
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
-    return search.units(current(s, d))
+    # search reads the units twice (statistics, scores); building them is the dear part
+    return written(search.units(current(s, d)), "units")
 
 
 def _unit_table(s: SparkSession, d: str) -> DataFrame:

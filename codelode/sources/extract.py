@@ -86,7 +86,8 @@ class _Walk:
         self.imports.append({"import_name": name, "target_module": module, "kind": kind, "line": self.text.line(self.start[at]), "column": self.text.column(self.start[at]), "resolved": None})
 
     def close(self, k: int) -> int:
-        return self.match.get(k, len(self.kind) - 1)
+        partner = self.match.get(k, -1)
+        return partner if partner > k else len(self.kind) - 1
 
     def split(self, a: int, b: int, sign: str = ",") -> list[tuple[int, int]]:
         """Ranges between top-level signs; brackets and angle brackets are kept together."""
@@ -276,6 +277,8 @@ class _Rust(_Walk):
             while q < b and self.kind[q] != "{":
                 q = self.close(q) + 1 if self.kind[q] in ("(", "[") else q + 1
             self.items(k + 1, q, mods, owner, caller, test)
+            if q >= b:
+                return b
             e, q = min(self.close(q), b), q + 1
             while q < e:
                 guard = None
