@@ -84,8 +84,13 @@ def _bucket_changes(rows: pd.DataFrame) -> pd.DataFrame:
                 found.append((no, both[vectors[no][both] != vectors[before][both]], "changed"))
         if after is not None:
             found.append((after, bitmaps[no].and_not(bitmaps.get(after, NOTHING)).ordinals(), "removed"))
-    parts = [pd.DataFrame({"grp": grp, "snapshot_no": no, "item": paths[k], "change_kind": kind}) for no, k, kind in found if len(k)]
-    return pd.concat(parts) if parts else pd.DataFrame({"grp": [], "snapshot_no": [], "item": [], "change_kind": []})
+    found = [f for f in found if len(f[1])]
+    n = [len(k) for _, k, _ in found]
+    items = np.concatenate([paths[k] for _, k, _ in found]).tolist() if found else []
+    return pd.DataFrame({
+        "grp": pd.Series([grp] * sum(n), dtype=object), "snapshot_no": np.repeat(np.array([no for no, _, _ in found], np.int64), n) if found else np.zeros(0, np.int64),
+        "item": pd.Series(items, dtype=object), "change_kind": pd.Series([kind for (_, k, kind) in found for _ in range(len(k))], dtype=object),
+    })
 
 
 def snapshot_changes(

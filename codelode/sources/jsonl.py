@@ -42,8 +42,8 @@ def incomplete(records: DataFrame) -> DataFrame:
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, line`` of lines that are no JSON object, for one file read whole in order; blank lines are none."""
-    lines = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "line"))
-    return lines.where((F.trim("line") != "") & F.from_json("line", "MAP<STRING, STRING>").isNull()).select("file", (F.col("k") + 1).cast("bigint").alias("line_no"), "line")
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("k", "line"))
+    return lines.where((F.trim("line") != "") & F.try_parse_json("line").isNull()).select("file", (F.col("k") + 1).cast("bigint").alias("line_no"), "line")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:

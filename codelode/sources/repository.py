@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Iterator
 
@@ -10,11 +9,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelode.common import slots
 from codelode.functions.text import language_of_path
 from codelode.operators.cards import with_cards
 from codelode.operators.files import MOST_BYTES
 
 
+def _glob(body: str) -> str:
+    """An ignore pattern as a regular expression: a star stays inside a folder, two stars cross folders."""
+    out, k = "", 0
+    while k < len(body):
+        if body.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif body.startswith("**", k):
+            out, k = out + ".*", k + 2
+        elif body[k] == "*":
+            out, k = out + "[^/]*", k + 1
+        elif body[k] == "?":
+            out, k = out + "[^/]", k + 1
+        elif body[k] == "[" and "]" in body[k + 2 :]:
+            e = body.index("]", k + 2)
+            out, k = out + "[" + body[k + 1 : e].replace("\\", "\\\\").replace("!", "^", 1) + "]", e + 1
+        else:
+            k += body[k] == "\\" and k + 1 < len(body)
+            out, k = out + re.escape(body[k]), k + 1
+    return out
+
+
 class Ignore:
     """Ignore files of a repository: ``(folder, lines)``; later rules win, deeper files after shallower, an ignored folder hides all below it. ``.git`` is always ignored."""
 
@@ -29,17 +50,9 @@ class Ignore:
                 negated, only_folder = line.startswith("!"), line.endswith("/")
                 body = line[negated:].rstrip("/")
                 anchored = "/" in body
-                pattern = "".join(self._piece(part, k) for k, part in enumerate(re.split(r"(\*\*/|/\*\*)", body.lstrip("/"))))
+                pattern = _glob(body.lstrip("/"))
                 self.rules.append((folder, re.compile(("" if anchored else "(?:.*/)?") + pattern + r"\Z"), negated, only_folder))
 
-    @staticmethod
-    def _piece(part: str, _: int) -> str:
-        if part == "**/":
-            return "(?:.*/)?"
-        if part == "/**":
-            return "/.*"
-        return fnmatch.translate(part).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*").replace("(?>[^/]*?", "(?:[^/]*?")
-
     def _hit(self, path: str, folder: bool) -> bool:
         hit = False
         for base, pattern, negated, only_folder in self.rules:
@@ -56,35 +69,47 @@ class Ignore:
         return any(self._hit("/".join(parts[:k]), k < len(parts)) for k in range(1, len(parts) + 1))
 
 
-def ignore_rules(spark: SparkSession, root: str) -> Ignore:
-    """The ignore files below ``root``; few and small, so they come to the driver."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", ".gitignore").option("recursiveFileLookup", "true").load(root).select(_relative(root).alias("path"), F.col("content").cast("string").alias("text")).collect()
-    return Ignore([(r["path"].rpartition("/")[0], r["text"].split("\n")) for r in rows])
+def listing(spark: SparkSession, root: str) -> list[tuple[str, int, str]]:
+    """(path below ``root``, bytes, full path) of every file, ``.git`` left out; the file source of the engine would skip names that begin with a dot or an underscore."""
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString().rstrip("/") + "/"
+    found, walk = [], fs.listFiles(base, True)
+    while walk.hasNext():
+        status = walk.next()
+        full = status.getPath().toString()
+        path = full.removeprefix(top)
+        if not path.startswith(".git/") and "/.git/" not in path:
+            found.append((path, status.getLen(), full))
+    return found
 
 
-def _relative(root: str):  # noqa: ANN202
-    bare = re.sub(r"^file:/*", "/", root).rstrip("/")
-    return F.regexp_replace(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"^file:/*", "/"), f"^{re.escape(bare)}/", "")
+def _read(full: str) -> bytes:
+    from pyarrow import fs
+
+    source, path = fs.FileSystem.from_uri(full) if "%" in full or " " not in full else (fs.LocalFileSystem(), re.sub(r"^file:/*", "/", full))
+    with source.open_input_stream(path) as f:
+        return f.read()
 
 
 def scan(spark: SparkSession, root: str, languages: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(``path, language, byte_len, text`` of the files to parse, ``path, language, byte_len`` of files above the size limit), by path.
 
-    Extension and size are tested on the listing, before contents are read. Bytes that are no UTF-8 become replacement characters.
+    Extension, ignore rules and size are tested on the listing (paths and sizes only, on the driver as for any file source), before contents are read by the tasks. Bytes that are no UTF-8 become replacement characters.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = listed.select(_relative(root).alias("path"), F.col("length").alias("byte_len"), "content").withColumn("language", language_of_path(F.col("path"))).where("language IS NOT NULL")
+    every = listing(spark, root)
+    rules = Ignore([(path.rpartition("/")[0], _read(full).decode(errors="replace").split("\n")) for path, _, full in every if path.rpartition("/")[2] == ".gitignore"])
+    rows = spark.createDataFrame([(p, n, f) for p, n, f in every if not rules.ignored(p)], "path STRING, byte_len BIGINT, full STRING").withColumn("language", language_of_path(F.col("path"))).where("language IS NOT NULL")
     if languages:
-        files = files.where(F.col("language").isin(languages))
-    rules = spark.sparkContext.broadcast(ignore_rules(spark, root))
+        rows = rows.where(F.col("language").isin(languages))
 
-    @F.pandas_udf("boolean")
-    def kept(paths: pd.Series) -> pd.Series:
-        return paths.map(lambda p: not rules.value.ignored(p))
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "language": batch["language"], "byte_len": batch["byte_len"], "text": [_read(f).decode(errors="replace") for f in batch["full"]]})
 
-    files = files.where(kept("path"))
-    small = files.where(F.col("byte_len") <= MOST_BYTES).select("path", "language", "byte_len", F.decode("content", "UTF-8").alias("text"))
-    return small.orderBy("path"), files.where(F.col("byte_len") > MOST_BYTES).select("path", "language", "byte_len").orderBy("path")
+    small = rows.where(F.col("byte_len") <= MOST_BYTES).repartition(max(2, slots(spark)), "path").mapInPandas(read, "path STRING, language STRING, byte_len BIGINT, text STRING")
+    return small.orderBy("path"), rows.where(F.col("byte_len") > MOST_BYTES).select("path", "language", "byte_len").orderBy("path")
 
 
 def parse(rows: DataFrame) -> DataFrame:
