@@ -9,6 +9,8 @@ from codelode.functions.text import est_tokens
 
 #: Version of the text; least and most budget; tokens kept for header and footer; names on a file's line.
 VERSION, LEAST, MOST, RESERVED, NAMES = 1, 500, 8000, 48, 12
+#: Name of the tool in header and footer.
+TITLE = "codelode"
 
 
 def entries(files: DataFrame) -> DataFrame:
@@ -45,23 +47,23 @@ def allocated(entries_: DataFrame, budget: int) -> DataFrame:
     return lists.withColumn("fold", F.aggregate("items", start, fold)).withColumn("states", F.col("fold.states"))
 
 
-def _assembled(budget: int) -> tuple[Column, Column]:
+def _assembled(budget: int, title: str) -> tuple[Column, Column]:
     shown = F.filter(F.arrays_zip("items", "states"), lambda z: z["states"] != "omitted")
     lines = F.transform(F.array_sort(F.transform(shown, lambda z: F.struct(z["items"]["path"].alias("path"), F.when(z["states"] == "full", z["items"]["full_line"]).otherwise(z["items"]["bare_line"]).alias("line")))), lambda x: x["line"])
     n = F.size(shown)
-    head = F.concat(F.lit(f"code-map snapshot v{VERSION}: "), n, F.lit(" files, "), "n_lines", F.lit(" lines, "), "n_symbols", F.lit(f" symbols (budget {budget} tokens)\n"))
-    foot = F.when(F.col("n_files") > n, F.concat(F.lit("+ "), F.col("n_files") - n, F.lit(' more files omitted (budget) — find them: code-map search "<query>"\n'))).otherwise("")
+    head = F.concat(F.lit(f"{title} snapshot v{VERSION}: "), n, F.lit(" files, "), "n_lines", F.lit(" lines, "), "n_symbols", F.lit(f" symbols (budget {budget} tokens)\n"))
+    foot = F.when(F.col("n_files") > n, F.concat(F.lit("+ "), F.col("n_files") - n, F.lit(f' more files omitted (budget) — find them: {title} search "<query>"\n'))).otherwise("")
     return F.concat(head, F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), foot), n.cast("bigint")
 
 
-def rendered(files: DataFrame, budget: int = 2500) -> DataFrame:
+def rendered(files: DataFrame, budget: int = 2500, title: str = TITLE) -> DataFrame:
     """``repo, content, est_tokens, files, omitted, budget``: one text per repository, the same for any order of the input.
 
     If header and footer overrun what was kept for them, the file of lowest priority is degraded (full, bare, omitted) until the text fits; a fold over the states, from the end.
     """
     budget = max(LEAST, min(MOST, budget))
     rows = allocated(entries(files), budget)
-    content, n = _assembled(budget)
+    content, n = _assembled(budget, title)
     rows = rows.withColumn("content", content).withColumn("files", n)
     # bounded: every turn degrades one entry of each text that is too long
     for _ in range(4):
@@ -69,7 +71,7 @@ def rendered(files: DataFrame, budget: int = 2500) -> DataFrame:
         last = F.aggregate(F.sequence(F.lit(1), F.size("states")), F.lit(0), lambda got, k: F.when(F.element_at("states", k) != "omitted", k).otherwise(got))
         worse = F.transform("states", lambda s, k: F.when(k + 1 == last, F.when(s == "full", "bare").otherwise("omitted")).otherwise(s))
         rows = rows.withColumn("states", F.when(over & (F.size("states") > 0), worse).otherwise(F.col("states")))
-        content, n = _assembled(budget)
+        content, n = _assembled(budget, title)
         rows = rows.withColumn("content", content).withColumn("files", n)
     return rows.select("repo", "content", est_tokens("content").alias("est_tokens"), "files", (F.col("n_files") - F.col("files")).alias("omitted"), F.lit(budget).cast("bigint").alias("budget"))
 

@@ -104,7 +104,7 @@ def test_normalized_path(spark, path, want):
 
 
 def test_bare_name(spark):
-    names = {"code_parser::parse_repo(&d).with": "parse_repo", "results.iter().map": None, "alpha()": "alpha", "a::": None, "x.y": None, "plain": "plain"}
+    names = {"some_crate::parse_repo(&d).with": "parse_repo", "results.iter().map": None, "alpha()": "alpha", "a::": None, "x.y": None, "plain": "plain"}
     rows = spark.createDataFrame([(n,) for n in names], "n STRING").select("n", T.bare_name(F.col("n")).alias("b")).collect()
     assert {r["n"]: r["b"] for r in rows} == names
 
@@ -128,7 +128,7 @@ def rec(path, symbols=(), calls=(), imports=(), language="Rust"):
 @pytest.fixture
 def corpus(spark):
     rows = [
-        rec("src/lib.rs", [symbol(n) for n in ("main", "setup", "broken", "indirect")], [call("main", "util::helper", 4, file="src/util.rs"), call("main", "code::parse_repo", 5), call("setup", "main", 11, local="main"), call("broken", "missing::thing", 16, external=True), call("indirect", "util::helper", 20, file="src/other.rs")]),
+        rec("src/lib.rs", [symbol(n) for n in ("main", "setup", "broken", "indirect")], [call("main", "util::helper", 4, file="src/util.rs"), call("main", "core::parse_repo", 5), call("setup", "main", 11, local="main"), call("broken", "missing::thing", 16, external=True), call("indirect", "util::helper", 20, file="src/other.rs")]),
         rec("src/other.rs", [symbol("other::helper"), symbol("other::parse_repo")]),
         rec("src/util.rs", [symbol("util::helper", "helper"), symbol("util::run_helper", "run_helper")], [call("run_helper", "helper", 8, local="helper")]),
     ]
