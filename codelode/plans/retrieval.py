@@ -157,6 +157,9 @@ ORACLE = {
       df AS (SELECT term, ln(1 + any_value(n) / (1 + count(u.terms))) AS idf FROM q CROSS JOIN n LEFT JOIN unit u ON list_contains(u.terms, q.term) GROUP BY term), total AS (SELECT sum(idf) AS total FROM df),
       scored AS (SELECT u.*, round(0.6 * (SELECT sum(CASE WHEN list_contains(u.terms, term) THEN idf ELSE 0 END) FROM df) / total, 9) AS score FROM unit u, total)
       SELECT repo, path, line, kind, name, score, content_hash, est_tokens AS tokens_est, card FROM scored WHERE score > 0 ORDER BY score DESC, path NULLS FIRST, name NULLS FIRST, line NULLS FIRST, repo NULLS FIRST LIMIT 20""",
+    "fingerprint_changed": f"""WITH {CUR}, old AS (SELECT * FROM file_parse WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY parsed_at NULLS FIRST, received_at NULLS FIRST) = 1)
+      SELECT repo, path FROM cur c JOIN old o USING (repo, path) WHERE list_transform(coalesce(c.calls, []), lambda x: (x.callee_name, x.callee_local_key, x.callee_file, x.callee_external)) IS DISTINCT FROM list_transform(coalesce(o.calls, []), lambda x: (x.callee_name, x.callee_local_key, x.callee_file, x.callee_external))
+        OR list_transform(coalesce(c.imports, []), lambda x: (x.target_module, x.resolved)) IS DISTINCT FROM list_transform(coalesce(o.imports, []), lambda x: (x.target_module, x.resolved))""",
     "tombstones": f"WITH {_FEED} SELECT repo, path, seq, arrival_no FROM feed WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY seq DESC, arrival_no DESC) = 1 AND NOT alive",
     "last_write_wins": f"WITH {_FEED}, part AS (SELECT *, path || '@' || (arrival_no // 500) AS p FROM feed WHERE path IS NOT NULL) SELECT repo, p AS path, seq, alive FROM part QUALIFY row_number() OVER (PARTITION BY repo, p ORDER BY seq DESC, arrival_no DESC) = 1",
 }
