@@ -23,7 +23,8 @@ def trimmed(name: Column) -> Column:
 
 def file_values(file_parse: DataFrame) -> DataFrame:
     """``repo, path, names``: the trimmed, non-blank callee names (with repeats) of the current record of each file."""
-    names = F.transform(F.coalesce("calls", F.array()), lambda c: trimmed(c["callee_name"]))
+    # a path of fields (not a field inside a lambda) lets the scan read the names alone
+    names = F.transform(F.coalesce(F.col("calls.callee_name"), F.array().cast("array<string>")), trimmed)
     current = current_records(file_parse, names.alias("names"))
     return current.select("repo", "path", F.filter("names", lambda n: n.isNotNull() & (n != "")).alias("names"))
 
