@@ -230,6 +230,7 @@ def recurrent(prints: DataFrame, least_repos: int = LEAST_REPOS) -> DataFrame:
 def not_handwritten(files: DataFrame) -> DataFrame:
     """``repo, path, kind`` of the files of ``source_files`` that were not written by hand in their repository: ``generated``, ``minified``, ``data`` or ``vendored``.
 
+    Files with fewer than LEAST_PRINTS fingerprints are not judged by the copy test: among so few, boilerplate such as an error page recurs by itself. A short copy without another mark is missed.
     Empty and blank files are never cases. Files without text are judged by path and recorded sizes. One row per input row; very long texts are read whole.
     Fingerprints of all files are compared with those of all others: each occurs in a set of repositories, counted by an aggregate with map-side combine;
     fingerprints in very many files come back by broadcast (bounded by arithmetic), the rest by shuffle.
