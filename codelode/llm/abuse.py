@@ -11,11 +11,14 @@ import math
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
+from re import _constants as _ops
+from re import _parser
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,7 +58,6 @@ VOTERS: list[tuple[str, int, re.Pattern]] = [
 POSITIVE = [k for k, v in enumerate(VOTERS) if v[1] > 0]
 
 _MARKS = re.compile(r"(?m)^[ \t]*(?://[/!]?|/\*[*!]?|\*/?|#+|>+|--|<!--)[ \t]?|\*/[ \t]*$")
-_SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 _LEET_WORD = re.compile(r"(?<![\w@$])(?=[a-z@$!]*[0-9@$!])(?=[0-9@$!]*[a-z])[a-z0-9@$](?:[a-z0-9@$]|![a-z0-9@$]){1,24}(?![\w@$])")
 _LEET = str.maketrans("0134578@$!", "oieastbasi")
@@ -93,91 +95,217 @@ def _undoubled(m: re.Match) -> str:
 _DOUBLED_WORD = re.compile(r"\b(?=[a-z]*([a-z])\1)[a-z]{3,40}\b")
 
 
+# What a spelled-out, dotted or starred word cannot be without; where it is missing, the longer patterns are not tried.
+_MAYBE_SPACED = re.compile(r" [a-z] +[a-z] ")
+_MAYBE_DOTTED = re.compile(r"\. ?\.?[a-z]\. ?\.?[a-z]\b")
+_MAYBE_STARRED = re.compile(r"[*#][a-z]|spac[*#]")
+
+
+class _Plain(dict):
+    """Blank-separated pieces of text with digits for letters and doubled letters undone, as they come; forgets all when it is full."""
+
+    def __missing__(self, piece: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        plain = self[piece] = _DOUBLED_WORD.sub(_undoubled, _LEET_WORD.sub(lambda m: m.group().translate(_LEET), piece))
+        return plain
+
+
+_PLAIN = _Plain()
+
+
 def folded(text: str) -> str:
     """Lower case on one line without comment and quote marks; spelled-out, starred, dotted, doubled and digit-for-letter insults in plain letters."""
-    text = _SPACE.sub(" ", _MARKS.sub("", unescaped(text))).lower()
+    text = " ".join(_MARKS.sub("", unescaped(text)).split()).lower()
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    text = _SPACED.sub(_despaced, text)
-    text = _DOTTED.sub(_despaced, text)
-    if "*" in text or "#" in text:
+    if _MAYBE_SPACED.search(text):
+        text = _SPACED.sub(_despaced, text)
+    if _MAYBE_DOTTED.search(text):
+        text = _DOTTED.sub(_despaced, text)
+    if _MAYBE_STARRED.search(text):
         text = _STARRED.sub(_starred, text)
-    text = _LEET_WORD.sub(lambda m: m.group().translate(_LEET), text)
-    text = _DOUBLED_WORD.sub(_undoubled, text)
-    return _SPACE_WASTE.sub("wasteofspace", text)
-
-
-# What abuse needs, in any spelling of its other words; looked for in lower case, anywhere in a word.
-TRIGGERS = """you|your| u |du bist|du wert|dich |tu es|eres |te quiere|whoever|reviews a|breeds|fuck|shit|go to hell|shut |crawl|piss off|drop dead|throat|sleep with|deserve|put down|hit by a|breathing
-vanish|tits|boobs|nude|horny|blowjob|blow job|handjob|orgasm|masturb|pussy|porn|my lap|bend over|naked|suck my|in bed|women|woman|gays|lesbian|homos|transgender|foreigner|immigrant|refugee|cripple
-muslim|christians|jews|gypsies|your kind|subhuman|vermin|parasites|go back to|roadkill|monkey|nobody|mother|ashamed|fresse|klappe|schnauze|dreck|verpiss|fick|mierda|puta|dégage|va te|gueule
-sale con|vaffan|ugly|beaten|rape|murder|kill him|kill her|kill them|clothes off|stupid |strangle"""
+    text = " ".join(map(_PLAIN.__getitem__, text.split()))
+    return _SPACE_WASTE.sub("wasteofspace", text) if "waste" in text else text
+
+
+#: Most strings by which a pattern is told.
+MOST_STRINGS = 2000
+
+
+def _joined(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    return {x + y for x in a for y in b} if a is not None and b is not None and len(a) * len(b) <= MOST_STRINGS else None
+
+
+def _whole(part: tuple) -> set[str] | None:
+    """All strings that a part of a parsed pattern can match; None if they are many. What looks around matches the empty string."""
+    op, of = part
+    if op is _ops.LITERAL:
+        return {chr(of)}
+    if op in (_ops.AT, _ops.ASSERT, _ops.ASSERT_NOT):
+        return {""}
+    if op is _ops.IN:
+        return {chr(x) for _, x in of} if all(kind is _ops.LITERAL for kind, _ in of) else None
+    if op is _ops.SUBPATTERN:
+        return _whole_row(of[-1])
+    if op is _ops.BRANCH:
+        each = [_whole_row(x) for x in of[1]]
+        return None if None in each else set().union(*each)
+    if op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and of[:2] in ((0, 1), (1, 1)):
+        one = _whole_row(of[2])
+        return None if one is None else one | ({""} if of[0] == 0 else set())
+    return None
+
+
+def _whole_row(row: Iterable[tuple]) -> set[str] | None:
+    whole: set[str] | None = {""}
+    for part in row:
+        whole = _joined(whole, _whole(part))
+    return whole
+
+
+def needed(row: Iterable[tuple]) -> set[str]:
+    """Strings of which every match of a parsed pattern holds at least one; the empty string stands for nothing needed."""
+    found, run = [{""}], {""}
+    for op, of in row:
+        whole = _whole((op, of))
+        if whole is not None and (longer := _joined(run, whole)) is not None:
+            run = longer
+            continue
+        found.append(run)
+        run = {""}
+        if whole is not None:
+            run = whole
+        elif op is _ops.SUBPATTERN:
+            found.append(needed(of[-1]))
+        elif op is _ops.BRANCH:
+            found.append(set().union(*(needed(x) for x in of[1])))
+        elif op in (_ops.MAX_REPEAT, _ops.MIN_REPEAT) and of[0]:
+            found.append(needed([*of[2]] * min(of[0], 2)))
+            if (once := _whole_row(of[2])) is not None:
+                found.append(_joined(found[-2], once) or {""})
+                run = once
+    return max([*found, run], key=lambda x: (min(map(len, x)), -len(x)))
+
+
+def _automaton() -> ahocorasick.Automaton:
+    """Finds what the voters need: each string with the bit set of its voters."""
+    voters: dict[str, int] = {}
+    for k, (_, _, pattern) in enumerate(VOTERS):
+        for x in needed(_parser.parse(pattern.pattern)):
+            voters[x] = voters.get(x, 0) | 1 << k
+    assert "" not in voters, "a voter's pattern needs no string; it would never be asked"
+    found = ahocorasick.Automaton()
+    for x, bits in voters.items():
+        found.add_word(x, bits)
+    found.make_automaton()
+    return found
 
-_AUTOMATON = ahocorasick.Automaton()
-for _word in sorted({w for line in TRIGGERS.splitlines() for w in line.split("|")} | {w for w in INSULTS if len(w) > 4}):
-    _AUTOMATON.add_word(_word, len(_word))
-_AUTOMATON.make_automaton()
-#: A polite question addresses nobody: "could you move ...".
-_ASKING = ("could ", "would ", "can ", "will ", "may ", "thank ", "if ")
-#: Characters looked at before and after a trigger.
-AROUND = 170
 
+_NEEDED = _automaton()
 
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[.!?])[\"'`]+\s|\s(?=<\w+> )|\s(?=- )")
 
 
 def sentences(text: str) -> list[str]:
-    """Folded sentences around the triggers of a text; close triggers are looked at together."""
-    lower = text.lower()
-    spans: list[list[int]] = []
-    for end, n in _AUTOMATON.iter(lower):
-        start = end + 1 - n
-        if n == 3 and lower.startswith("you", start) and (lower.endswith(_ASKING, 0, start) or lower.startswith("r", end + 1)):
-            continue
-        if spans and start - AROUND <= spans[-1][1]:
-            spans[-1][1] = end + AROUND
-        else:
-            spans.append([max(0, start - AROUND), end + AROUND])
-    return [part for a, b in spans for part in _SENTENCE.split(folded(text[a:b])) if part]
+    """All sentences of a text, folded."""
+    return [part for part in _SENTENCE.split(folded(text)) if part]
 
 
 #: Width of the classifier's hashed features.
 FEATURES = 1 << 14
 #: A vote's value as a feature; a word's is 1.
 VOTE_VALUE = 3.0
-#: Most sentences in the classifier's training sample, per side of the label model's posterior.
+#: Most sentences in the classifier's training sample, per side of the label model's posterior, and of those on which nobody votes.
 TRAINING_ROWS = 6000
+#: The classifier sees longer sentences, such as code without full stops, in stretches of about this many characters.
+STRETCH = 340
 
 
 def votes_of(sentence: str) -> int:
-    """Bit set of the voters that fire on a folded sentence."""
+    """Bit set of the voters that fire on a folded sentence. A voter is asked only if the sentence holds what its pattern needs."""
+    maybe = 0
+    for _, bits in _NEEDED.iter(sentence):
+        maybe |= bits
     votes = 0
-    for k, (_, _, pattern) in enumerate(VOTERS):
-        if pattern.search(sentence):
-            votes |= 1 << k
+    while maybe:
+        low = maybe & -maybe
+        if VOTERS[low.bit_length() - 1][2].search(sentence):
+            votes |= low
+        maybe ^= low
     return votes
 
 
+class _Words(dict):
+    """Per word its feature, its bytes and the checksum with which its pairs begin; forgets all when it is full."""
+
+    def __missing__(self, word: str) -> tuple[int, bytes, int]:
+        if len(self) > 200_000:
+            self.clear()
+        raw = word.encode()
+        told = self[word] = (zlib.crc32(raw) % FEATURES, raw, zlib.crc32(raw + b" "))
+        return told
+
+
+_WORDS = _Words()
+
+
+def features_of(words: list[str], votes: int) -> list[int]:
+    """Hashed words and word pairs, and the votes."""
+    told = [_WORDS[w] for w in words]
+    features = {x[0] for x in told}
+    features.update(zlib.crc32(w[1], v[2]) % FEATURES for v, w in pairwise(told))
+    if votes:
+        features.update(FEATURES + k for k in range(len(VOTERS)) if votes >> k & 1)
+    return sorted(features)
+
+
+def _stretches(sentence: str, votes: int) -> Iterator[tuple[int, list[str]]]:
+    """(votes, words) of the stretches of a long sentence: neighbours share a word, so no pair is lost; a vote counts in every stretch that its match touches."""
+    spans = [(k, m.start(), m.end()) for k in range(len(VOTERS)) if votes >> k & 1 for m in VOTERS[k][2].finditer(sentence)]
+    words = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(sentence)]
+    first = 0
+    while first < len(words):
+        last = first
+        while last + 1 < len(words) and words[last + 1][1] - words[first][0] <= STRETCH:
+            last += 1
+        final = last + 1 >= len(words)
+        a, b = 0 if first == 0 else words[first][0], len(sentence) if final else words[last + 1][0]
+        yield sum({1 << k for k, x, y in spans if x < b and y > a}), [w for _, _, w in words[first : last + 1]]
+        if final:
+            return
+        first = max(last, first + 1)
+
+
 def examined(text: str) -> list[tuple[int, list[int]]]:
-    """(votes, hashed features) of each sentence near a trigger."""
+    """(votes, hashed features) of every sentence; of a long one, of each of its stretches."""
     out = []
     for sentence in sentences(text):
         votes = votes_of(sentence)
-        words = _TOKEN.findall(sentence)
-        features = {zlib.crc32(w.encode()) % FEATURES for w in words} | {zlib.crc32(f"{v} {w}".encode()) % FEATURES for v, w in zip(words, words[1:], strict=False)}
-        features.update(FEATURES + k for k in range(len(VOTERS)) if votes >> k & 1)
-        if features:
-            out.append((votes, sorted(features)))
+        if len(sentence) > STRETCH:
+            out += [(v, f) for v, w in _stretches(sentence, votes) if (f := features_of(w, v))]
+        elif features := features_of(_TOKEN.findall(sentence), votes):
+            out.append((votes, features))
     return out
 
 
-EXAMINED = "doc_id BIGINT, source STRING, found ARRAY<STRUCT<votes: INT, features: ARRAY<INT>>>"
+EXAMINED = "doc_id BIGINT, source STRING, votes ARRAY<INT>, features ARRAY<ARRAY<INT>>"
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)), values)
 
 
-def _examine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [[{"votes": v, "features": f} for v, f in examined(t)] if t else [] for t in batch["text"]]
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "found": found})
+def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            batch = whole.slice(start, 500)
+            found = [examined(t) if t else [] for t in batch.column("text").to_pylist()]
+            each = [s for f in found for s in f]
+            lengths = [len(f) for f in found]
+            features = _lists([len(f) for _, f in each], pa.array([x for _, f in each for x in f], pa.int32()))
+            votes = _lists(lengths, pa.array([v for v, _ in each], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), votes, _lists(lengths, features)], names=["doc_id", "source", "votes", "features"])
 
 
 class LabelModel:
@@ -215,58 +343,75 @@ class LabelModel:
 
 
 def _trained(rows: list[tuple[list[int], float]], rounds: int = 60, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels: weights and intercept; plain gradient steps with per-weight step sizes (Adagrad), fixed order."""
+    """Logistic regression on soft labels: weights and intercept; plain gradient steps with per-weight step sizes (Adagrad), fixed order.
+
+    Both sides of the labels weigh the same, however many rows either has.
+    """
     w, b = np.zeros(FEATURES + len(VOTERS)), 0.0
     if not rows:
         return w, -5.0
     indices = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
     owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
     y = np.array([q for _, q in rows])
+    weight = np.ones(len(rows))
+    positive = y >= 0.5
+    if positive.any() and not positive.all():
+        weight[positive] *= weight[~positive].sum() / weight[positive].sum()
+    weight /= weight.sum()
     value = np.where(indices >= FEATURES, VOTE_VALUE, 1.0)
     square, bias_square = np.full(len(w), 1e-3), 1e-3
     for _ in range(rounds * 4):
         z = np.bincount(owner, w[indices] * value, minlength=len(rows)) + b
-        error = 1 / (1 + np.exp(-z)) - y
-        g = np.bincount(indices, error[owner] * value, minlength=len(w)) / len(rows) + shrink * w
+        error = weight * (1 / (1 + np.exp(-z)) - y)
+        g = np.bincount(indices, error[owner] * value, minlength=len(w)) + shrink * w
         square += g * g
         w -= 0.3 * g / np.sqrt(square)
-        g_b = error.mean()
+        g_b = error.sum()
         bias_square += g_b * g_b
         b -= 0.3 * g_b / math.sqrt(bias_square)
     return w, b
 
 
-def linear_score(w: np.ndarray, b: float, features: list[int]) -> float:
-    f = np.asarray(features, np.int64)
-    z = float(w[f].sum() + (VOTE_VALUE - 1) * w[f[f >= FEATURES]].sum()) + b
-    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+def linear_scores(w: np.ndarray, b: float, features: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Scores of sentences whose features stand one after the other; no length is 0."""
+    if not len(lengths):
+        return np.zeros(0)
+    value = w[features] * np.where(features >= FEATURES, VOTE_VALUE, 1.0)
+    z = np.add.reduceat(value, np.cumsum(lengths) - lengths) + b
+    return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
 def abuse_scores(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``doc_id, source, score`` for every row of ``documents``; abuse is likely from 0.5 on.
 
-    Votes, their patterns' counts and the label model cover all documents. Only the classifier is fitted on a bounded sample: at most ``training_rows`` sentences of either side of the
-    posterior, the first by a hash of their content. Null, empty and blank texts score 0. ``doc_id`` may be null or repeat; every row gets its row.
+    Votes, their patterns' counts and the label model cover all sentences of all documents, and the classifier scores each of them. Only its fitting is bounded: at most ``training_rows``
+    sentences of either side of the posterior, and as many on which nobody votes, the first by a hash of their content. Null, empty and blank texts score 0. ``doc_id`` may be null or repeat; every row gets its row.
     Whole texts are read, comments in source files included.
     """
-    rows = written(documents.select("doc_id", "source", "text").mapInPandas(_examine, EXAMINED), "abuse-votes")
-    said = rows.select(F.explode("found").alias("s")).select("s.votes", "s.features")
+    rows = written(documents.select("doc_id", "source", "text").mapInArrow(_examine, EXAMINED), "abuse-votes")
     # at most 2 ** len(VOTERS) patterns, whatever the number of documents
-    patterns = [(r["votes"], r["n"]) for r in said.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()]
+    patterns = [(r["votes"], r["n"]) for r in rows.select(F.explode("votes").alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()]
     model = LabelModel(patterns)
+    said = rows.select(F.explode(F.arrays_zip("votes", "features")).alias("s")).select("s.votes", "s.features")
     likely = [p for p, _ in patterns if model.of(p) >= 0.5]
     side = F.col("votes").isin(likely) if likely else F.lit(False)
-    sample = [said.where(s).orderBy(F.xxhash64("votes", "features"), "votes").limit(training_rows) for s in (side, ~side)]
+    sample = [said.where(s).orderBy(F.xxhash64("votes", "features"), "votes").limit(training_rows) for s in (side, ~side & (F.col("votes") != 0), F.col("votes") == 0)]
     w, b = _trained([(r["features"], model.of(r["votes"])) for s in sample for r in s.collect()])
     shared = rows.sparkSession.sparkContext.broadcast((w, b))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
         for batch in batches:
-            scores = [max((linear_score(w, b, s["features"]) for s in found), default=0.0) for found in batch["found"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "score": np.round(np.asarray(scores, float), 6)})
-
-    return rows.mapInPandas(score, "doc_id BIGINT, source STRING, score DOUBLE")
+            found = batch.column("features")
+            own = found.value_lengths().to_numpy(zero_copy_only=False)
+            each = found.flatten()
+            by_sentence = linear_scores(w, b, each.flatten().to_numpy(zero_copy_only=False), each.value_lengths().to_numpy(zero_copy_only=False))
+            scores = np.zeros(batch.num_rows)
+            if len(by_sentence):
+                scores[own > 0] = np.maximum.reduceat(by_sentence, (np.cumsum(own) - own)[own > 0])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(np.round(scores, 6))], names=["doc_id", "source", "score"])
+
+    return rows.select("doc_id", "source", "features").mapInArrow(score, "doc_id BIGINT, source STRING, score DOUBLE")
 
 
 def abuse_rates(scores: DataFrame, least: float = 0.5) -> DataFrame:

@@ -207,3 +207,22 @@ def test_abuse(spark):
     assert {r["doc_id"] for r in rows if r["score"] >= 0.5} == {*range(len(CASES)), None, 202}
     assert {r["source"]: r["n_abusive"] for r in abuse.abuse_rates(scores).collect()} == {"review": len(CASES), "chat": 2, None: 0}
     assert abuse.abuse_scores(df.limit(0)).count() == 0
+
+
+UNTRIGGERED = ["Arabs are animals.", "The migrants here are cockroaches.", "Somebody should shoot him.", "We will stab them.", "Break his legs.", "They must be shot.", "The author is a twat.", "Show cock."]
+
+
+def test_abuse_in_every_sentence(spark):
+    plain = "The parcel waits in the depot until the meter is read"
+    docs = [(k, "review", f"{plain}. {t} {plain}.") for k, t in enumerate(UNTRIGGERED)] + [(100 + k, "review", f"{plain} {k}.") for k in range(60)] + [(200, "chat", f"{plain} " * 40 + UNTRIGGERED[0] + f" {plain}" * 40)]
+    df = spark.createDataFrame(docs, "doc_id BIGINT, source STRING, text STRING")
+    assert {r["doc_id"] for r in abuse.abuse_scores(df).collect() if r["score"] >= 0.5} == {*range(len(UNTRIGGERED)), 200}
+
+
+def test_voters_are_asked_wherever_they_fire():
+    texts = [*CASES, *FINE, *UNTRIGGERED, "fffuckk off", "she deserves to die", "no girl has ever", "'a b', 'c d', 'e'", "i must be such an absolute fool"]
+    for s in [s for t in texts for s in abuse.sentences(t)]:
+        assert abuse.votes_of(s) == sum(1 << k for k, v in enumerate(abuse.VOTERS) if v[2].search(s))
+    long = "word " * 300 + "you utter moron " + "word " * 300
+    found = abuse.examined(long)
+    assert len(found) > 5 and sum(1 for v, _ in found if v) in (1, 2) and abuse.examined(" .\n") == []
