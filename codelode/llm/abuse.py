@@ -19,7 +19,7 @@ from re import _parser
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from codelode.common import written
@@ -216,7 +216,7 @@ def sentences(text: str) -> list[str]:
 FEATURES = 1 << 14
 #: A vote's value as a feature; a word's is 1.
 VOTE_VALUE = 3.0
-#: Most sentences in the classifier's training sample, per side of the label model's posterior, and of those on which nobody votes.
+#: Most different sentences in the classifier's training sample, per side of the label model's posterior, and of those on which nobody votes.
 TRAINING_ROWS = 6000
 #: The classifier sees longer sentences, such as code without full stops, in stretches of about this many characters.
 STRETCH = 340
@@ -342,18 +342,18 @@ class LabelModel:
         return float(self.posterior(np.array([[votes >> k & 1 for k in range(len(VOTERS))]], float))[0]) if votes else 0.0
 
 
-def _trained(rows: list[tuple[list[int], float]], rounds: int = 60, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
+def _trained(rows: list[tuple[list[int], float, int]], rounds: int = 60, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels: weights and intercept; plain gradient steps with per-weight step sizes (Adagrad), fixed order.
 
-    Both sides of the labels weigh the same, however many rows either has.
+    A row is (features, label, times it occurs); one that occurs n times weighs 1 + ln n, so that copies count but don't rule. Both sides of the labels weigh the same, however many rows either has.
     """
     w, b = np.zeros(FEATURES + len(VOTERS)), 0.0
     if not rows:
         return w, -5.0
-    indices = np.concatenate([np.asarray(f, np.int64) for f, _ in rows])
-    owner = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    y = np.array([q for _, q in rows])
-    weight = np.ones(len(rows))
+    indices = np.concatenate([np.asarray(f, np.int64) for f, _, _ in rows])
+    owner = np.repeat(np.arange(len(rows)), [len(f) for f, _, _ in rows])
+    y = np.array([q for _, q, _ in rows])
+    weight = 1 + np.log([n for _, _, n in rows])
     positive = y >= 0.5
     if positive.any() and not positive.all():
         weight[positive] *= weight[~positive].sum() / weight[positive].sum()
@@ -381,22 +381,30 @@ def linear_scores(w: np.ndarray, b: float, features: np.ndarray, lengths: np.nda
     return 1 / (1 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
+def training_sample(rows: DataFrame, likely: list[int], training_rows: int) -> list[Row]:
+    """``votes, key, n, features`` of at most ``training_rows`` different sentences of each side and as many without a vote, the first by a hash of their content; ``n`` is how often each occurs in all ``rows``."""
+    said = rows.select(F.explode(F.arrays_zip("votes", "features")).alias("s")).select("s.votes", F.xxhash64("s.votes", "s.features").alias("key"), "s.features")
+    counted = written(said.groupBy("votes", "key").agg(F.count(F.lit(1)).alias("n")), "abuse-sentences")
+    side = F.col("votes").isin(likely) if likely else F.lit(False)
+    parts = [counted.where(s).orderBy("key", "votes").limit(training_rows) for s in (side, ~side & (F.col("votes") != 0), F.col("votes") == 0)]
+    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # broadcast: at most three times training_rows
+    return said.join(F.broadcast(picked), ["votes", "key"]).groupBy("votes", "key", "n").agg(F.min("features").alias("features")).orderBy("key", "votes").collect()
+
+
 def abuse_scores(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """``doc_id, source, score`` for every row of ``documents``; abuse is likely from 0.5 on.
 
     Votes, their patterns' counts and the label model cover all sentences of all documents, and the classifier scores each of them. Only its fitting is bounded: at most ``training_rows``
-    sentences of either side of the posterior, and as many on which nobody votes, the first by a hash of their content. Null, empty and blank texts score 0. ``doc_id`` may be null or repeat; every row gets its row.
+    different sentences of either side of the posterior, and as many on which nobody votes, the first by a hash of their content; each is weighted by how often it occurs. Null, empty and blank texts score 0. ``doc_id`` may be null or repeat; every row gets its row.
     Whole texts are read, comments in source files included.
     """
     rows = written(documents.select("doc_id", "source", "text").mapInArrow(_examine, EXAMINED), "abuse-votes")
     # at most 2 ** len(VOTERS) patterns, whatever the number of documents
     patterns = [(r["votes"], r["n"]) for r in rows.select(F.explode("votes").alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n")).orderBy("votes").collect()]
     model = LabelModel(patterns)
-    said = rows.select(F.explode(F.arrays_zip("votes", "features")).alias("s")).select("s.votes", "s.features")
     likely = [p for p, _ in patterns if model.of(p) >= 0.5]
-    side = F.col("votes").isin(likely) if likely else F.lit(False)
-    sample = [said.where(s).orderBy(F.xxhash64("votes", "features"), "votes").limit(training_rows) for s in (side, ~side & (F.col("votes") != 0), F.col("votes") == 0)]
-    w, b = _trained([(r["features"], model.of(r["votes"])) for s in sample for r in s.collect()])
+    w, b = _trained([(r["features"], model.of(r["votes"]), r["n"]) for r in training_sample(rows, likely, training_rows)])
     shared = rows.sparkSession.sparkContext.broadcast((w, b))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -226,3 +226,14 @@ def test_voters_are_asked_wherever_they_fire():
     long = "word " * 300 + "you utter moron " + "word " * 300
     found = abuse.examined(long)
     assert len(found) > 5 and sum(1 for v, _ in found if v) in (1, 2) and abuse.examined(" .\n") == []
+
+
+def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
+    copy = "You utter moron. The damn flag broke. The depot waits for the parcel."
+    docs = [(k, "review", copy) for k in range(400)] + [(1000 + k, "review", f"You moron, w{k} is wrong. The stupid flag w{k} is set. A parcel w{k} waits.") for k in range(30)]
+    seen = []
+    trained = abuse._trained
+    monkeypatch.setattr(abuse, "_trained", lambda rows: seen.extend(rows) or trained(rows))
+    rows = abuse.abuse_scores(spark.createDataFrame(docs, "doc_id BIGINT, source STRING, text STRING"), training_rows=31).collect()
+    assert len({tuple(r[0]) for r in seen}) == len(seen) == 93 and sorted(r[2] for r in seen)[-4:] == [1, 400, 400, 400]
+    assert all(r["score"] >= 0.5 for r in rows)
