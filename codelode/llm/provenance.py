@@ -88,7 +88,7 @@ def fingerprints(text: str) -> np.ndarray:
 def header(text: str) -> str:
     """Comment lines before the first code, a doc comment or shebang included; of a file that starts with code nothing."""
     out, inside = [], ""
-    for line in text[:8000].split("\n")[:40]:
+    for line in text.split("\n"):
         bare = line.strip()
         if inside:
             out.append(bare)
@@ -109,6 +109,28 @@ def header(text: str) -> str:
     return "\n".join(out)
 
 
+def closing(text: str) -> str:
+    """Comment lines after the last code; of a file that ends with code nothing."""
+    out, inside = [], False
+    lines = text.split("\n")
+    for k in range(len(lines) - 1, -1, -1):
+        bare = lines[k].strip()
+        if not inside and bare.endswith("*/") and not bare.startswith("//"):
+            inside = True
+        if inside:
+            start = bare.rfind("/*")
+            if start > 0:  # code stands before it
+                out.append(bare[start:])
+                break
+            out.append(bare)
+            inside = start < 0
+        elif bare.endswith("-->") and bare.startswith("<!--") or bare.startswith(("//", "#")) and not bare.startswith(("#[", "#!")):
+            out.append(bare)
+        elif bare:
+            break
+    return "\n".join(reversed(out))
+
+
 def is_data(text: str) -> bool:
     """Nearly all of the code is numbers, or blobs: long strings without words."""
     if len(text) < 150:
@@ -185,8 +207,7 @@ def kind_by_text(path: str, text: str | None, byte_len: float | None = None, lin
     if text is None:
         known = byte_len is not None and line_count is not None and byte_len == byte_len and line_count == line_count
         return "minified" if known and byte_len > 800 and byte_len / max(1.0, line_count) > 400 else None
-    top = header(text)
-    for line in top.split("\n"):
+    for line in f"{header(text)}\n{closing(text)}".split("\n"):
         if _BY_HAND.search(line):
             continue
         if _MADE_HEADER.search(line):

@@ -237,3 +237,11 @@ def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
     rows = abuse.abuse_scores(spark.createDataFrame(docs, "doc_id BIGINT, source STRING, text STRING"), training_rows=31).collect()
     assert len({tuple(r[0]) for r in seen}) == len(seen) == 93 and sorted(r[2] for r in seen)[-4:] == [1, 400, 400, 400]
     assert all(r["score"] >= 0.5 for r in rows)
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ("// A long licence.\n" * 60 + "// Code generated by x. DO NOT EDIT.\n" + HAND, "generated"), ("/*\n" + " * A long licence with many words in each line.\n" * 300 + " * vendored\n */\n" + HAND, "vendored"), (HAND + "// Generated by wirepack 1.3, do not modify\n\n", "generated"),
+    (HAND + "/* One.\n * @generated by x\n */\n", "generated"), ("x = 1\n# @generated by x", "generated"), (HAND + "f(1); /* @generated */", "generated"), (HAND + "const T = `\n// @generated by x\n`;\n", None), (HAND + "// @generated parts are next.\n" + HAND, None), (HAND + "// The rest was written by hand, not generated by x.\n", None),
+])
+def test_marks_beyond_the_first_lines(text, kind):
+    assert provenance.kind_by_text("src/a.js", text) == kind
