@@ -6,6 +6,7 @@ paths and the shape of the text tell the rest: machine-made files, minified scri
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codelode.common import current_records, written
 
-#: Tokens of a fingerprinted window; windows of which one is chosen; fingerprints below which a file is too small to be judged by them.
+#: Tokens of a fingerprinted window; windows of which one is chosen; fingerprints below which a file is compared as a whole instead.
 GRAM, WINNOW, LEAST_PRINTS = 24, 20, 6
 #: Repositories in which a fingerprint must occur to be recurrent, and the share of recurrent fingerprints that makes a copy.
 LEAST_REPOS, COPY_SHARE = 3, 0.6
@@ -85,6 +86,25 @@ def fingerprints(text: str) -> np.ndarray:
     return np.unique(h).astype(np.int64)
 
 
+# Names under which any project defines something, and signs of a body that does something.
+_ENTRY_NAMES = {"main", "new", "default", "setup", "teardown", "setUp", "tearDown", "constructor", "__init__", "handler", "run", "test", "tests"}
+_DEFINED = re.compile(r"\b(?:def|fn|function|class|struct|enum|trait|interface|impl)\s*\*?\s+(\w+)|\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^()]*\)|\w+)\s*=>")
+_DOES = {"return", "yield", "await", "raise", "throw", "assert", "if", "for", "while", "match", "=", ".", "+", "*", "/", "%"}
+
+
+def whole_print(text: str) -> int | None:
+    """One hash of all tokens, literals normalised. None for boilerplate, which recurs by itself: pages, listings, imports and constants, entry points, definitions without a body."""
+    code = _STRIPPED.sub(" ", text).strip()
+    if code.startswith(("<", "{", "[")):
+        return None
+    tokens = _TOKEN.findall(code)
+    names = {a or b for a, b in _DEFINED.findall(_STRING.sub('""', code))} - _ENTRY_NAMES
+    if not names or _DOES.isdisjoint(tokens):
+        return None
+    same = "\0".join("7" if t[0] in "\"'`" else "11" if t[0].isdigit() else t for t in tokens)
+    return int.from_bytes(hashlib.blake2b(same.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def header(text: str) -> str:
     """Comment lines before the first code, a doc comment or shebang included; of a file that starts with code nothing."""
     out, inside = [], ""
@@ -221,17 +241,19 @@ def kind_by_text(path: str, text: str | None, byte_len: float | None = None, lin
     return "generated" if is_counted(text) else None
 
 
-LOOKED = "repo STRING, path STRING, kind STRING, prints ARRAY<BIGINT>"
+LOOKED = "repo STRING, path STRING, kind STRING, prints ARRAY<BIGINT>, whole ARRAY<BIGINT>"
 
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        kinds, prints = [], []
+        kinds, prints, wholes = [], [], []
         for path, text, size, lines in zip(batch["path"], batch["text"], batch["byte_len"], batch["line_count"], strict=True):
             kind = kind_by_text(path, text, size, lines)
             kinds.append(kind)
             prints.append(fingerprints(text) if kind is None and text or kind == "vendored" and text else [])
-        yield pd.DataFrame({"repo": batch["repo"], "path": batch["path"], "kind": kinds, "prints": prints})
+            whole = whole_print(text) if kind in (None, "vendored") and text and len(prints[-1]) < LEAST_PRINTS else None
+            wholes.append([] if whole is None else [whole])
+        yield pd.DataFrame({"repo": batch["repo"], "path": batch["path"], "kind": kinds, "prints": prints, "whole": wholes})
 
 
 def source_files(documents: DataFrame, file_parse: DataFrame) -> DataFrame:
@@ -251,7 +273,7 @@ def recurrent(prints: DataFrame, least_repos: int = LEAST_REPOS) -> DataFrame:
 def not_handwritten(files: DataFrame) -> DataFrame:
     """``repo, path, kind`` of the files of ``source_files`` that were not written by hand in their repository: ``generated``, ``minified``, ``data`` or ``vendored``.
 
-    Files with fewer than LEAST_PRINTS fingerprints are not judged by the copy test: among so few, boilerplate such as an error page recurs by itself. A short copy without another mark is missed.
+    Files with fewer than LEAST_PRINTS fingerprints are judged by one hash of all their tokens, which must recur in as many repositories: among so few, parts of boilerplate recur by themselves.
     Empty and blank files are never cases. Files without text are judged by path and recorded sizes. One row per input row; very long texts are read whole.
     Fingerprints of all files are compared with those of all others: each occurs in a set of repositories, counted by an aggregate with map-side combine;
     fingerprints in very many files come back by broadcast (bounded by arithmetic), the rest by shuffle.
@@ -259,8 +281,9 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     looked = written(files.mapInPandas(_look, LOOKED), "provenance")
     told = looked.where("kind IS NOT NULL").select("repo", "path", "kind")
     prints = looked.where(F.size("prints") > 0).select("repo", "path", "kind", F.size("prints").alias("n"), F.explode("prints").alias("print"))
-    often = written(recurrent(prints), "recurrent-prints")
-    mine = prints.where((F.col("n") >= LEAST_PRINTS) & F.col("kind").isNull()).drop("kind")
+    wholes = looked.where(F.size("whole") > 0).select("repo", "path", "kind", F.size("whole").alias("n"), F.explode("whole").alias("print"))
+    often = written(recurrent(prints.unionByName(wholes)), "recurrent-prints")
+    mine = prints.where(F.col("n") >= LEAST_PRINTS).unionByName(wholes).where(F.col("kind").isNull()).drop("kind")
     hot = often.where(F.col("files") > HOT_FILES).orderBy(F.desc("files"), "print").limit(MOST_HOT).select("print", F.lit(1).alias("hot"))
     split = mine.join(F.broadcast(hot), "print", "left")
     rest = often.join(F.broadcast(hot), "print", "left_anti")

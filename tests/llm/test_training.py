@@ -245,3 +245,12 @@ def test_copies_do_not_fill_the_training_sample(spark, monkeypatch):
 ])
 def test_marks_beyond_the_first_lines(text, kind):
     assert provenance.kind_by_text("src/a.js", text) == kind
+
+
+def test_short_copies(spark):
+    short = "export function add(x, y) {\n  return x + y;\n}\n"
+    other = {"main.rs": 'fn main() {\n    println!("a");\n}\n', "page.js": "<html><body><h1>404</h1></body></html>\n", "list.ts": '{"a": 1, "b": [2]}\n', "index.js": "export * from './a';\n", "e.py": "class NotFound(Exception):\n    pass\n", "note.rs": "// Only a note.\n"}
+    rows = [(f"r{k}", "lib/short.js", f"// local {k}\n{short}", 9, 9) for k in range(3)] + [(f"r{k}", p, t, 9, 9) for k in range(4) for p, t in other.items()]
+    rows += [(f"r{k}", "two.js", short.replace("add", "sub"), 9, 9) for k in range(2)] + [("r3", "more.js", short + "add(1, 2);\n", 9, 9)]
+    df = spark.createDataFrame(rows, "repo STRING, path STRING, text STRING, byte_len BIGINT, line_count BIGINT")
+    assert {(r["repo"], r["path"], r["kind"]) for r in provenance.not_handwritten(df).collect()} == {(f"r{k}", "lib/short.js", "vendored") for k in range(3)}
