@@ -43,6 +43,8 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
     open_: list[tuple[str, int | None]] = []
     pending: int | None = None
     pending_depth = 0
+    body_at: int | None = None
+    partners: dict[int, int] | None = None
     doc: list[str] = []
     doc_end = -1
     for m in _BRACE_SCAN[language].finditer(text):
@@ -60,7 +62,7 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
         if group == "p":
             c = m.group()
             if c in "([{":
-                if c == "{" and pending is not None and len(open_) == pending_depth:
+                if c == "{" and pending is not None and len(open_) == pending_depth and body_at in (None, m.start()):
                     open_.append((c, pending))
                     pending = None
                 else:
@@ -75,8 +77,16 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
             continue
         name = m.groupdict()
         who = name.get("name") or name.get("bound") or name.get("method")
-        if who is None or name.get("method") and (who in _NO_METHOD or not _is_method(text, m.end())):
+        if who is None or name.get("method") and who in _NO_METHOD:
             continue
+        body = None
+        if name.get("method"):
+            if partners is None:
+                partners = _partners(text, _BRACE_SCAN[language])
+            body = _body_of(text, partners.get(m.end()))
+            if body is None:
+                continue
+        body_at = body
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         between = _BETWEEN.match(text, doc_end) if doc else None
         mine = "\n".join(doc) if between is not None and between.end() >= start else None
@@ -86,19 +96,49 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
     return [tuple(f) for f in found]
 
 
-def _is_method(text: str, at: int) -> bool:
-    """A bracket at ``at``; a body must follow its partner."""
-    depth = 0
-    for k in range(at, min(len(text), at + 4000)):
-        c = text[k]
-        if c == "(":
+def _partners(text: str, scan: re.Pattern) -> dict[int, int]:
+    """Where each round bracket outside strings and comments is closed."""
+    found: dict[int, int] = {}
+    open_: list[int] = []
+    for m in scan.finditer(text):
+        if m.lastgroup == "p":
+            if m.group() == "(":
+                open_.append(m.start())
+            elif m.group() == ")" and open_:
+                found[open_.pop()] = m.start()
+    return found
+
+
+_TYPE_SCAN = re.compile(r"(?P<comment>//[^\n]*|/\*(?s:.*?)(?:\*/|\Z))|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`)|(?P<p>=>|\n|[^\w\s])|(?P<word>\w+)")
+#: A type goes on after these, and before those.
+_GOES_ON, _GOES_ON_BEFORE = frozenset((":", "|", "&", "=>", "?", ".", "is", "keyof", "typeof", "extends", "asserts", "readonly")), frozenset(("|", "&", "?", "=>", ".", "is", "extends"))
+
+
+def _body_of(text: str, closed: int | None) -> int | None:
+    """Where the body begins of a method whose parameters end at ``closed``; a return type may stand between, over any lines. None if no body follows."""
+    if closed is None:
+        return None
+    depth, last, broken = 0, "", False
+    for m in _TYPE_SCAN.finditer(text, closed + 1):
+        if m.lastgroup == "comment":
+            continue
+        c = m.group()
+        if c == "\n":
+            broken = True
+            continue
+        if not last and c not in ("{", ":"):
+            return None
+        if depth == 0:
+            if c == "{" and last not in _GOES_ON:
+                return m.start()
+            if c in (";", ",", ")", "]", "}", "=") or broken and last and last not in _GOES_ON and c not in _GOES_ON_BEFORE:
+                return None
+        if c in ("(", "[", "{", "<"):
             depth += 1
-        elif c == ")":
+        elif c in (")", "]", "}", ">"):
             depth -= 1
-            if not depth:
-                rest = text[k + 1 : k + 200].lstrip()
-                return rest.startswith("{") or rest.startswith(":") and "{" in rest.split("\n", 1)[0]
-    return False
+        last, broken = c, False
+    return None
 
 
 def _indented(text: str) -> list[tuple[str, int, int, str | None]]:

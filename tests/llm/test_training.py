@@ -254,3 +254,9 @@ def test_short_copies(spark):
     rows += [(f"r{k}", "two.js", short.replace("add", "sub"), 9, 9) for k in range(2)] + [("r3", "more.js", short + "add(1, 2);\n", 9, 9)]
     df = spark.createDataFrame(rows, "repo STRING, path STRING, text STRING, byte_len BIGINT, line_count BIGINT")
     assert {(r["repo"], r["path"], r["kind"]) for r in provenance.not_handwritten(df).collect()} == {(f"r{k}", "lib/short.js", "vendored") for k in range(3)}
+
+
+def test_methods_with_long_parameters_and_wrapped_types():
+    many = ",\n".join(f"    parameter_{k}: string" for k in range(300))
+    ts = f"class A {{\n  /** M. */\n  m(\n{many}\n  ): void {{\n    x();\n  }}\n  /** N. */\n  n(a = ')'): Promise<\n    {{ b: string }}\n  > {{\n    return y(a);\n  }}\n}}\ninterface I {{\n  o(a: string): {{ b: string }};\n  p(): void\n  q: {{ b: string }}\n}}\n"
+    assert [(n, ts[s:e].rstrip()[-14:].split()[-2:], d) for n, _, s, e, d in function_docs.functions_of(ts, "TypeScript")] == [("m", ["x();", "}"], "/** M. */"), ("n", ["y(a);", "}"], "/** N. */")]
