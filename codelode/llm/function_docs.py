@@ -1,8 +1,8 @@
 """Functions paired with their documentation.
 
 A string- and comment-aware scanner finds functions and methods in a source text, matches braces (or indentation) to delimit them and attaches the
-documentation comment that stands immediately before them (in Python the string that opens the body). Found functions are matched with the file's parse record, which
-gives the qualified name, and pairs whose documentation tells nothing beyond the name are dropped.
+documentation comment that stands immediately before them (in Python the string that opens the body). The pairs are those of the scanner; the file's parse record names
+them (qualified name, signature) and can only take away what it knows to be undocumented. Pairs whose documentation tells nothing beyond the name are dropped.
 """
 
 from __future__ import annotations
@@ -34,10 +34,19 @@ _PYTHON_SCAN = re.compile(r"(?P<comment>#[^\n]*)|(?P<string>(?:[rRbBuUfF]{0,2})(
 #: Words that look like a method's name before a bracket and are none.
 _NO_METHOD = frozenset("if for while switch catch return function with await typeof new throw super constructor_ else do case delete void yield in of".split())
 _BETWEEN = re.compile(r"(?:\s|#!?\[[^\n]*\]|@[\w.]+(?:\([^\n]*\))?|\bpub\([^)]*\)|\b(?:pub|export|default|async|const|unsafe|static|extern|declare|abstract|public|private|protected|override|readonly|get|set)\b|\"C\")*")
-_DOC_COMMENT = {"Rust": ("///", "//!", "/**"), "TypeScript": ("/**",), "JavaScript": ("/**",)}
+_DOC_COMMENT = {"Rust": ("///", "/**"), "TypeScript": ("/**",), "JavaScript": ("/**",)}
+#: An empty line between a comment and a function: the comment belongs to the file, not to the function.
+_EMPTY_LINE = re.compile(r"\n[ \t\r]*\n")
 
 
-def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
+def _belongs(text: str, doc_end: int, start: int) -> bool:
+    """Whether only modifiers and attributes stand between a comment and a function; before a function in the same line damaged ones count as such too."""
+    between = _BETWEEN.match(text, doc_end)
+    return not _EMPTY_LINE.search(text, doc_end, start) and (between.end() >= start or "\n" not in text[between.end() : start] and "\n" in text[doc_end : between.end()] and not re.search(r"[;{}]", text[between.end() : start]))
+
+
+def _braced(text: str, language: str, comments: list[tuple[int, str]]) -> list[tuple[str, int, int, str | None]]:
+    """Functions; documentation comments go to ``comments`` with their ends."""
     docs = _DOC_COMMENT[language]
     found: list[list] = []
     open_: list[tuple[str, int | None]] = []
@@ -56,6 +65,9 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
                     doc = []
                 doc.append(body)
                 doc_end = m.end()
+                if len(doc) > 1:
+                    comments.pop()
+                comments.append((doc_end, "\n".join(doc)))
             continue
         if group == "string" or group == "h":
             continue
@@ -88,8 +100,7 @@ def _braced(text: str, language: str) -> list[tuple[str, int, int, str | None]]:
                 continue
         body_at = body
         start = m.start() + len(m.group()) - len(m.group().lstrip())
-        between = _BETWEEN.match(text, doc_end) if doc else None
-        mine = "\n".join(doc) if between is not None and between.end() >= start else None
+        mine = "\n".join(doc) if doc and _belongs(text, doc_end, start) else None
         doc = []
         found.append([who, start, len(text), mine])
         pending, pending_depth = len(found) - 1, len(open_)
@@ -153,6 +164,11 @@ def _indented(text: str) -> list[tuple[str, int, int, str | None]]:
         if group == "comment":
             continue
         if group == "string":
+            # a damaged header may end anywhere; the string that opens the line after it is its documentation all the same
+            opened = awaiting or header
+            if opened is not None and text.count("\n", opened[1], m.start()) == 1 and not text[text.rfind("\n", 0, m.start()) : m.start()].strip():
+                opened[3], header, awaiting, depth = m.group(), None, None, 0
+                continue
             if awaiting is not None:
                 if not text[awaiting[4] : m.start()].strip() or not re.sub(r"#[^\n]*", "", text[awaiting[4] : m.start()]).strip():
                     awaiting[3] = m.group()
@@ -184,13 +200,45 @@ def _indented(text: str) -> list[tuple[str, int, int, str | None]]:
     return [(e[0], e[1], e[2], e[3]) for e in found]
 
 
-def functions_of(text: str, language: str) -> list[tuple[str, int, int, int, str | None]]:
-    """(name, first line, start, end, documentation as written) of each function and method, in order; tolerant of broken files."""
-    found = _indented(text) if language == "Python" else _braced(text, language)
+def functions_of(text: str, language: str, comments: list[tuple[int, str]] | None = None) -> list[tuple[str, int, int, int, str | None]]:
+    """(name, first line, start, end, documentation as written) of each function and method, in order; tolerant of broken files. ``comments`` takes all documentation comments with their ends."""
+    found = _indented(text) if language == "Python" else _braced(text, language, comments if comments is not None else [])
     breaks = [m.start() for m in re.finditer("\n", text)]
     return [(name, bisect.bisect_left(breaks, start) + 1, start, end, doc) for name, start, end, doc in found]
 
 
+class Scanned:
+    """The functions of one text, to be asked by the name and line that a parse record gives."""
+
+    def __init__(self, text: str, language: str) -> None:
+        self.text, self.comments = text, []
+        self.functions = functions_of(text, language, self.comments)
+        self.at = {(name, line): (start, end, doc) for name, line, start, end, doc in reversed(self.functions)}
+        self.named: dict[str, list[tuple[int, int, str | None]]] = {}
+        self.on_line: dict[int, tuple[int, int, str | None]] = {}
+        for name, line, start, end, doc in self.functions:
+            self.named.setdefault(name, []).append((start, end, doc))
+            self.on_line.setdefault(line, (start, end, doc))
+        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    def ask(self, name: str, line: int | None) -> tuple[int | None, int | None, str | None]:
+        """(start, end, documentation) of a function. Where its header is damaged, so that no function of this name was found, only the comment right before the line (or the string after it)."""
+        found = self.at.get((name, line))
+        if found is None and len(self.named.get(name, ())) == 1:
+            found = self.named[name][0]
+        if found is not None:
+            return found
+        if line is None or line != line or not 1 <= line <= len(self.starts):
+            return None, None, None
+        start = self.starts[int(line) - 1]
+        near = self.on_line.get(int(line))
+        if near is not None:
+            return near
+        start += len(self.text[start:]) - len(self.text[start:].lstrip(" \t"))
+        k = bisect.bisect_right(self.comments, (start, "")) - 1
+        return None, None, self.comments[k][1] if k >= 0 and self.comments[k][0] <= start and _belongs(self.text, self.comments[k][0], start) else None
+
+
 # --- what documentation tells
 
 _MARKS = re.compile(r"^[ \t]*(?:/\*\*?|\*/|///?!?|\*|#+|--+|<!--|\"\"\"|''')?[ \t]*|[ \t]*(?:\*/|\"\"\"|'''|-->)[ \t]*$", re.M)
@@ -283,46 +331,32 @@ PAIRS = "repo STRING, path STRING, qualified_name STRING, signature STRING, docs
 
 
 def documented_functions(documents: DataFrame, file_parse: DataFrame) -> DataFrame:
-    """``repo, path, qualified_name, signature, docstring, code, start_line``: one row per function or method of a file's current record whose documentation informs.
+    """``repo, path, qualified_name, signature, docstring, code, start_line``: one row per function or method that the scanner finds documented in a file's text and the file's current record knows.
 
-    ``docstring`` is the text without comment marks, ``code`` the function as delimited in the file's text: null where the file has no text or the scanner doesn't find the function
-    (a broken file). A record without documentation for a function gives no pair, even if a comment stands near it. Functions that share a qualified name are all kept. Files
-    with null symbols, empty files and unknown extensions give nothing or pairs without code; very long files are scanned whole.
+    ``docstring`` is the comment in the text without its marks, ``code`` the function as delimited in the text: null where its header is damaged, so that only the comment was found. A function without a comment in the
+    text gives no pair whatever the record says, nor does one that the record has without any documentation (a comment that belongs to something else). Functions that share a qualified name are all kept.
+    Files without text or record, empty files, null symbols and unknown extensions give nothing; very long files are scanned whole.
     """
-    kept = F.filter("symbols", lambda x: x["kind"].isin("Function", "Method"))
-    symbols = F.transform(kept, lambda x: F.struct(x["name"].alias("name"), x["qualified_name"].alias("qualified_name"), x["signature"].alias("signature"), F.transform(x["parameters"], lambda q: q["name"]).alias("parameters"), x["docstring"].alias("docstring"), x["start_line"].alias("start_line")))
-    with_doc = current_records(file_parse, symbols.alias("symbols")).where(F.exists("symbols", lambda x: x["docstring"].isNotNull()))
-    texts = documents.where((F.col("source") == "repo_file") & F.col("path").isNotNull()).select("repo", "path", "text")
+    # fields by path, so that the scan reads these alone
+    parts = F.arrays_zip(*[F.col(f"symbols.{c}").alias(c) for c in ("kind", "name", "qualified_name", "signature", "parameters", "docstring", "start_line")])
+    symbols = F.transform(F.filter(parts, lambda x: x["kind"].isin("Function", "Method") & x["docstring"].isNotNull()), lambda x: F.struct(x["name"].alias("name"), x["qualified_name"].alias("qualified_name"), x["signature"].alias("signature"), F.transform(x["parameters"], lambda q: q["name"]).alias("parameters"), x["start_line"].alias("start_line")))
+    with_doc = current_records(file_parse, symbols.alias("symbols")).where(F.size("symbols") > 0)
+    texts = documents.where((F.col("source") == "repo_file") & F.col("path").isNotNull() & (F.col("text") != "")).select("repo", "path", "text")
     f, t = with_doc.alias("f"), texts.alias("t")
-    files = f.join(t, F.col("f.repo").eqNullSafe(F.col("t.repo")) & (F.col("f.path") == F.col("t.path")), "left").select("f.repo", "f.path", "t.text", "f.symbols")
+    files = f.join(t, F.col("f.repo").eqNullSafe(F.col("t.repo")) & (F.col("f.path") == F.col("t.path"))).select("f.repo", "f.path", "t.text", "f.symbols")
     return files.mapInPandas(_pair, PAIRS)
 
 
-
-
 def _pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for repo, path, text, symbols in zip(batch["repo"], batch["path"], batch["text"], batch["symbols"], strict=True):
             language = language_of(path)
-            found: dict[tuple[str, int], tuple[int, int, str | None]] = {}
-            lines: dict[str, list[int]] = {}
-            if text and language:
-                for name, line, start, end, doc in functions_of(text, language):
-                    found.setdefault((name, line), (start, end, doc))
-                    lines.setdefault(name, []).append(line)
-            for s in symbols if symbols is not None else []:
-                name = s["name"] or ""
-                at = (name, s["start_line"])
-                if at not in found and len(lines.get(name, [])) == 1:
-                    at = (name, lines[name][0])
-                start, end, doc = found.get(at, (None, None, None))
-                said = s["docstring"]
-                if said is None:
-                    continue
-                # a record that was cut short is completed by the comment in the text
-                if doc is not None and len(plain_doc(doc)) > len(said) and plain_doc(doc).startswith(plain_doc(said)):
-                    said = doc
-                if informs(said, name, s["signature"], s["parameters"]):
-                    out.append((repo, path, s["qualified_name"], s["signature"], plain_doc(said), None if start is None else text[start:end].rstrip(), s["start_line"]))
+            if not language:
+                continue
+            scanned = Scanned(text, language)
+            for s in symbols:
+                start, end, doc = scanned.ask(s["name"] or "", s["start_line"])
+                if doc is not None and informs(doc, s["name"] or "", s["signature"], s["parameters"]):
+                    out.append((repo, path, s["qualified_name"], s["signature"], plain_doc(doc), None if start is None else text[start:end].rstrip(), s["start_line"]))
         yield pd.DataFrame(out, columns=["repo", "path", "qualified_name", "signature", "docstring", "code", "start_line"])
