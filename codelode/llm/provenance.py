@@ -1,7 +1,8 @@
 """Generated, minified, vendored and data files among source files.
 
-Token streams (comments dropped, literals normalised) are fingerprinted by winnowing; a file most of whose fingerprints recur in several unrelated repositories is a copy. Headers,
-paths and the shape of the text tell the rest: machine-made files, minified scripts, data saved as code.
+Token streams of all files (comments dropped, literals normalised) are fingerprinted by winnowing; a file most of whose fingerprints recur in several unrelated repositories is a vendored
+copy. A header or folder that claims a copy is a weak voter: with it two repositories are enough. Headers, paths and the shape of the text tell what fingerprints cannot:
+machine-made files, minified scripts, data saved as code, and copies that say so but have no second copy in the collection.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from codelode.common import current_records, written
 
 #: Tokens of a fingerprinted window; windows of which one is chosen; fingerprints below which a file is compared as a whole instead.
 GRAM, WINNOW, LEAST_PRINTS = 24, 20, 6
-#: Repositories in which a fingerprint must occur to be recurrent, and the share of recurrent fingerprints that makes a copy.
-LEAST_REPOS, COPY_SHARE = 3, 0.6
+#: Repositories in which a fingerprint must occur to be recurrent (fewer where the file itself claims to be a copy), and the share of recurrent fingerprints that makes a copy.
+LEAST_REPOS, CLAIMED_REPOS, COPY_SHARE = 3, 2, 0.6
+#: Names that a window must hold; one of literals and signs alone, as in number arrays, is the same in all such files.
+LEAST_NAMES = 4
 #: A fingerprint in more files than this is joined by broadcast; there are at most (all fingerprints / HOT_FILES) of them, and never more than MOST_HOT.
 HOT_FILES, MOST_HOT = 2000, 20_000
 
@@ -53,24 +56,28 @@ _WORDY = re.compile(r"[^\W\d_]{2,}")
 
 
 def fingerprints(text: str) -> np.ndarray:
-    """Winnowed hashes of GRAM-token windows: of any WINNOW neighbouring windows at least one is chosen."""
+    """Winnowed hashes of GRAM-token windows: of any WINNOW neighbouring windows at least one is chosen, unless none of them holds LEAST_NAMES names."""
     tokens = _TOKEN.findall(_STRIPPED.sub(" ", text))
     n = len(tokens) - GRAM + 1
     if n < 1:
         return np.zeros(0, np.int64)
     known: dict[str, int] = {}
     ids = np.empty(len(tokens), np.uint64)
+    names = np.zeros(len(tokens) + 1, np.int64)
     for k, t in enumerate(tokens):
         i = known.get(t)
         if i is None:
-            i = known[t] = 7 if t[0] in "\"'`" else 11 if t[0].isdigit() else zlib.crc32(t.encode()) + 64
+            i = known[t] = 7 if t[0] in "\"'`" else 11 if t[0].isdigit() else zlib.crc32(t.encode("utf-8", "surrogatepass")) + 64 + ((1 << 40) if t[0] == "_" or t[0].isalpha() else 0)
         ids[k] = i
+    np.cumsum(ids >> np.uint64(40), out=names[1:], dtype=np.int64)
     h = np.zeros(n, np.uint64)
     for k in range(GRAM):
         h = h * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    h[names[GRAM:] - names[:-GRAM] < LEAST_NAMES] = none
     if n > WINNOW:
         # minimum of each run of WINNOW windows, by halves
         low, width = h, 1
@@ -83,7 +90,8 @@ def fingerprints(text: str) -> np.ndarray:
         h = low
     else:
         h = h.min(keepdims=True)
-    return np.unique(h).astype(np.int64)
+    h = np.unique(h)
+    return (h[:-1] if len(h) and h[-1] == none else h).astype(np.int64)
 
 
 # Names under which any project defines something, and signs of a body that does something.
@@ -153,8 +161,6 @@ def closing(text: str) -> str:
 
 def is_data(text: str) -> bool:
     """Nearly all of the code is numbers, or blobs: long strings without words."""
-    if len(text) < 150:
-        return False
     code = _STRIPPED.sub("", text)
     blob = prose = 0
     for m in _STRING.finditer(code):
@@ -184,8 +190,6 @@ def is_counted(text: str) -> bool:
     if code.startswith(("{", "[")):  # a configuration or listing under a wrong extension, not a program's output
         return False
     lines = [line.strip() for line in code.split("\n") if line.strip()]
-    if len(lines) < 8:
-        return False
     shapes: dict[str, set[str]] = {}
     of = Counter()
     for line in lines:
@@ -241,19 +245,22 @@ def kind_by_text(path: str, text: str | None, byte_len: float | None = None, lin
     return "generated" if is_counted(text) else None
 
 
-LOOKED = "repo STRING, path STRING, kind STRING, prints ARRAY<BIGINT>, whole ARRAY<BIGINT>"
+LOOKED = "repo STRING, path STRING, kind STRING, prints ARRAY<BIGINT>, exact BOOLEAN"
 
 
 def _look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        kinds, prints, wholes = [], [], []
+        kinds, prints, exact = [], [], []
         for path, text, size, lines in zip(batch["path"], batch["text"], batch["byte_len"], batch["line_count"], strict=True):
-            kind = kind_by_text(path, text, size, lines)
-            kinds.append(kind)
-            prints.append(fingerprints(text) if kind is None and text or kind == "vendored" and text else [])
-            whole = whole_print(text) if kind in (None, "vendored") and text and len(prints[-1]) < LEAST_PRINTS else None
-            wholes.append([] if whole is None else [whole])
-        yield pd.DataFrame({"repo": batch["repo"], "path": batch["path"], "kind": kinds, "prints": prints, "whole": wholes})
+            kinds.append(kind_by_text(path, text, size, lines))
+            found = fingerprints(text) if text and not text.isspace() else []
+            short = len(found) < LEAST_PRINTS
+            if short:
+                whole = whole_print(text) if text and not text.isspace() else None
+                found = [] if whole is None else [whole]
+            prints.append(found)
+            exact.append(short)
+        yield pd.DataFrame({"repo": batch["repo"], "path": batch["path"], "kind": kinds, "prints": prints, "exact": exact})
 
 
 def source_files(documents: DataFrame, file_parse: DataFrame) -> DataFrame:
@@ -264,29 +271,37 @@ def source_files(documents: DataFrame, file_parse: DataFrame) -> DataFrame:
     return t.join(s, F.col("t.repo").eqNullSafe(F.col("s.repo")) & (F.col("t.path") == F.col("s.path")), "left").select("t.repo", "t.path", "t.text", "s.byte_len", "s.line_count")
 
 
-def recurrent(prints: DataFrame, least_repos: int = LEAST_REPOS) -> DataFrame:
-    """``print, files`` of the fingerprints that occur in at least ``least_repos`` repositories. A null repository counts as none."""
+def recurrent(prints: DataFrame, least_repos: int = CLAIMED_REPOS) -> DataFrame:
+    """``print, repos, files`` of the fingerprints that occur in at least ``least_repos`` repositories. A null repository counts as none."""
     per_repo = prints.groupBy("print", "repo").agg(F.count(F.lit(1)).alias("files"))
-    return per_repo.groupBy("print").agg(F.count("repo").alias("repos"), F.sum("files").alias("files")).where(F.col("repos") >= least_repos).select("print", "files")
+    return per_repo.groupBy("print").agg(F.count("repo").alias("repos"), F.sum("files").alias("files")).where(F.col("repos") >= least_repos).select("print", "repos", "files")
 
 
 def not_handwritten(files: DataFrame) -> DataFrame:
-    """``repo, path, kind`` of the files of ``source_files`` that were not written by hand in their repository: ``generated``, ``minified``, ``data`` or ``vendored``.
+    """``repo, path, kind, evidence`` of the files of ``source_files`` that were not written by hand in their repository.
+
+    ``kind`` is ``vendored``, ``generated``, ``minified`` or ``data``. ``evidence`` is ``fingerprints`` where the file's fingerprints recur in enough repositories: that makes a copy of every file that
+    bears no mark of a program, minifier or data. It is ``marks`` where header, path or shape decide, including a file that claims to be a copy without a second one in the collection.
+    Files with fewer than LEAST_PRINTS fingerprints are compared by one hash of all their tokens instead, which must recur in as many repositories: among so few, parts of boilerplate recur by themselves.
+    Empty and blank files are never cases. Files without text are judged by path and recorded sizes. One row per input row at most; very long texts are read whole.
 
-    Files with fewer than LEAST_PRINTS fingerprints are judged by one hash of all their tokens, which must recur in as many repositories: among so few, parts of boilerplate recur by themselves.
-    Empty and blank files are never cases. Files without text are judged by path and recorded sizes. One row per input row; very long texts are read whole.
-    Fingerprints of all files are compared with those of all others: each occurs in a set of repositories, counted by an aggregate with map-side combine;
-    fingerprints in very many files come back by broadcast (bounded by arithmetic), the rest by shuffle.
+    Each fingerprint occurs in a set of repositories, counted by an aggregate with map-side combine. Fingerprints in very many files come back by broadcast (at most MOST_HOT of
+    them), the rest by shuffle.
     """
-    looked = written(files.mapInPandas(_look, LOOKED), "provenance")
-    told = looked.where("kind IS NOT NULL").select("repo", "path", "kind")
-    prints = looked.where(F.size("prints") > 0).select("repo", "path", "kind", F.size("prints").alias("n"), F.explode("prints").alias("print"))
-    wholes = looked.where(F.size("whole") > 0).select("repo", "path", "kind", F.size("whole").alias("n"), F.explode("whole").alias("print"))
-    often = written(recurrent(prints.unionByName(wholes)), "recurrent-prints")
-    mine = prints.where(F.col("n") >= LEAST_PRINTS).unionByName(wholes).where(F.col("kind").isNull()).drop("kind")
-    hot = often.where(F.col("files") > HOT_FILES).orderBy(F.desc("files"), "print").limit(MOST_HOT).select("print", F.lit(1).alias("hot"))
-    split = mine.join(F.broadcast(hot), "print", "left")
-    rest = often.join(F.broadcast(hot), "print", "left_anti")
-    hits = split.where("hot = 1").select("repo", "path", "n").unionByName(split.where("hot IS NULL").join(rest, "print", "left_semi").select("repo", "path", "n"))
-    copies = hits.groupBy("repo", "path").agg(F.count(F.lit(1)).alias("hits"), F.max("n").alias("n")).where(F.col("hits") >= COPY_SHARE * F.col("n"))
-    return told.unionByName(copies.select("repo", "path", F.lit("vendored").alias("kind")))
+    looked = written(files.mapInPandas(_look, LOOKED).withColumn("file", F.monotonically_increasing_id()), "provenance")
+    prints = looked.where(F.size("prints") > 0).select("file", "repo", F.explode("prints").alias("print"))
+    often = written(recurrent(prints), "recurrent-prints")
+    hot = F.broadcast(often.where(F.col("files") > HOT_FILES).orderBy(F.desc("files"), "print").limit(MOST_HOT).select("print", F.col("repos").alias("hot_repos")))
+    split = prints.select("file", "print").join(hot, "print", "left")
+    rest = often.join(hot, "print", "left_anti").select("print", "repos")
+    hits = split.where("hot_repos IS NOT NULL").select("file", F.col("hot_repos").alias("repos")).unionByName(split.where("hot_repos IS NULL").join(rest, "print").select("file", "repos"))
+    shares = hits.groupBy("file").agg(F.count_if(F.col("repos") >= LEAST_REPOS).alias("many"), F.count(F.lit(1)).alias("some"))
+    judged = looked.select("file", "repo", "path", "kind", F.size("prints").alias("n"), "exact").join(shares, "file", "left")
+    least = F.col("n") * F.lit(COPY_SHARE)
+    copy = F.coalesce((F.col("many") >= least) | ((F.col("kind") == "vendored") & (F.col("some") >= least)), F.lit(False)) & F.coalesce(F.col("kind") == "vendored", F.lit(True))
+    return judged.where(copy | F.col("kind").isNotNull()).select("repo", "path", F.when(copy, "vendored").otherwise(F.col("kind")).alias("kind"), F.when(copy, "fingerprints").otherwise("marks").alias("evidence"))
+
+
+def evidence_totals(cases: DataFrame) -> DataFrame:
+    """Files per ``kind`` and ``evidence``."""
+    return cases.groupBy("kind", "evidence").agg(F.count(F.lit(1)).alias("n_files"))

@@ -12,6 +12,7 @@ QUERIES = {
     "p3_scores": lambda s, d: term_weight.term_scores(table(s, d, "search_units")),
     "p4_found": lambda s, d: provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse"))).select("repo", "path"),
     "p4_kinds": lambda s, d: provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse"))),
+    "p4_evidence": lambda s, d: provenance.evidence_totals(provenance.not_handwritten(provenance.source_files(table(s, d, "documents"), table(s, d, "file_parse")))),
     "p5_found": lambda s, d: function_docs.documented_functions(table(s, d, "documents"), table(s, d, "file_parse")).select("repo", "path", "qualified_name"),
     "p5_pairs": lambda s, d: function_docs.documented_functions(table(s, d, "documents"), table(s, d, "file_parse")),
     "p7_found": lambda s, d: value_counts.callee_counts(table(s, d, "file_parse")).where("mark IS NOT NULL").select("callee_name", "mark"),
