@@ -65,7 +65,9 @@ FILES = "doc_id BIGINT, source STRING, repo STRING, path STRING, text STRING"
 
 
 def test_syntax(spark):
-    assert syntax.verdict("fn main() {}", "Python") == ("wrong_extension", "Rust") and syntax.verdict("a ) (", "Rust") == ("corrupt", None) and syntax.verdict(" \n", "Rust") == ("ok", "Rust")
+    assert syntax.verdict("fn main() {}", "Python") == ("wrong_extension", "Rust", ["Rust"]) and syntax.verdict("a ) (", "Rust") == ("corrupt", None, []) and syntax.verdict(" \n", "Rust")[:2] == ("ok", "Rust")
+    assert syntax.verdict("let x = 1;\n", "JavaScript") == ("ok", "JavaScript", ["JavaScript", "TypeScript"]) or syntax.verdict("let x = 1;\n", "JavaScript")[2] == ["TypeScript", "JavaScript"]
+    assert syntax.verdict("(" * 50000 + ")" * 50000, "Python")[0] == "too_deep" and syntax.verdict("x = " + "[" * 50000 + "]" * 50000 + ";", "JavaScript")[0] == "too_deep"
     rows = [(1, "repo_file", "r", "a.py", "x ="), (2, "repo_file", None, "b.rs", "fn f() {}"), (3, "review", "r", None, "x ="), (4, "repo_file", "r", "c.md", "x ="), (5, "repo_file", "r", "d.js", None), (6, "repo_file", "r", "e.ts", ""), (7, "repo_file", "r", "long.py", "x = 1\n" * 50000 + "(")]
     assert {(r["repo"], r["path"]) for r in syntax.broken(spark.createDataFrame(rows, FILES)).collect()} == {("r", "a.py"), ("r", "long.py")}
 
