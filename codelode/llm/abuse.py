@@ -332,14 +332,28 @@ class LabelModel:
             q = self.posterior(votes)
             right = np.where(self.side > 0, q[:, None], 1 - q[:, None])
             self.accuracy = (count @ (votes * right) + 9) / (count @ votes + 10)
+        self.silent = self._silent(votes, count, float(sum(n for p, n in patterns if not p)))
+
+    def _silent(self, votes: np.ndarray, count: np.ndarray, n_silent: float, rounds: int = 40) -> float:
+        """Probability of abuse where nobody votes: from how often each voter speaks up on either class, by EM. Voters that say the same thing count together once."""
+        if not len(votes) or not n_silent:
+            return 0.0
+        q = self.posterior(votes)
+        hidden = 0.0
+        for _ in range(rounds):
+            abusive, fine = count @ q + hidden * n_silent + 1, count @ (1 - q) + (1 - hidden) * n_silent + 1
+            on_abusive, on_fine = (count @ (votes * q[:, None])) / abusive, (count @ (votes * (1 - q)[:, None])) / fine
+            say = np.log(abusive / fine) + self.weight @ (np.log1p(-np.minimum(on_abusive, 0.999)) - np.log1p(-np.minimum(on_fine, 0.999)))
+            hidden = float(1 / (1 + np.exp(-say)))
+        return hidden
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of abuse given that somebody voted; abstentions say nothing."""
+        """Probability of abuse given that somebody voted; the others' abstentions say nothing."""
         say = self.side * self.weight * np.log(self.accuracy / (1 - self.accuracy))
         return 1 / (1 + np.exp(-votes @ say))
 
     def of(self, votes: int) -> float:
-        return float(self.posterior(np.array([[votes >> k & 1 for k in range(len(VOTERS))]], float))[0]) if votes else 0.0
+        return float(self.posterior(np.array([[votes >> k & 1 for k in range(len(VOTERS))]], float))[0]) if votes else self.silent
 
 
 def _trained(rows: list[tuple[list[int], float, int]], rounds: int = 60, shrink: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -382,14 +396,24 @@ def linear_scores(w: np.ndarray, b: float, features: np.ndarray, lengths: np.nda
 
 
 def training_sample(rows: DataFrame, likely: list[int], training_rows: int) -> list[Row]:
-    """``votes, key, n, features`` of at most ``training_rows`` different sentences of each side and as many without a vote, the first by a hash of their content; ``n`` is how often each occurs in all ``rows``."""
+    """``votes, key, n, features`` of at most ``training_rows`` different sentences of each side and as many without a vote, the first by a hash of their content; ``n`` is how often each occurs in all ``rows``.
+
+    Hashes spread evenly, so the share of all sentences that is wanted tells below which hash they lie: each task drops the rest at once, and little more than the sample is sorted.
+    """
     said = rows.select(F.explode(F.arrays_zip("votes", "features")).alias("s")).select("s.votes", F.xxhash64("s.votes", "s.features").alias("key"), "s.features")
-    counted = written(said.groupBy("votes", "key").agg(F.count(F.lit(1)).alias("n")), "abuse-sentences")
-    side = F.col("votes").isin(likely) if likely else F.lit(False)
-    parts = [counted.where(s).orderBy("key", "votes").limit(training_rows) for s in (side, ~side & (F.col("votes") != 0), F.col("votes") == 0)]
-    picked = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    side = F.when(F.col("votes") == 0, 0).when(F.col("votes").isin(likely) if likely else F.lit(False), 1).otherwise(2)
+    counted = written(said.groupBy("votes", "key").agg(F.count(F.lit(1)).alias("n")).withColumn("side", side), "abuse-sentences")
+    different = {r["side"]: r["n"] for r in counted.groupBy("side").agg(F.count(F.lit(1)).alias("n")).collect()}
+    picked = None
+    for which, n in sorted(different.items()):
+        share = min(1.0, 1.25 * (training_rows + 50) / n)
+        below = counted.where((F.col("side") == which) & (F.col("key") <= F.lit(int(-(2**63) + share * (2**64 - 1025)))) | F.lit(share == 1.0) & (F.col("side") == which))
+        part = below.orderBy("key", "votes").limit(training_rows)
+        picked = part if picked is None else picked.unionByName(part)
+    if picked is None:
+        return []
     # broadcast: at most three times training_rows
-    return said.join(F.broadcast(picked), ["votes", "key"]).groupBy("votes", "key", "n").agg(F.min("features").alias("features")).orderBy("key", "votes").collect()
+    return said.join(F.broadcast(picked.drop("side")), ["votes", "key"]).groupBy("votes", "key", "n").agg(F.min("features").alias("features")).orderBy("key", "votes").collect()
 
 
 def abuse_scores(documents: DataFrame, training_rows: int = TRAINING_ROWS) -> DataFrame:
