@@ -11,6 +11,8 @@ from codelode.common import current_records, slots, written
 
 #: Identifiers per range; a count array has this many places.
 RANGE = 4096
+#: Count arrays that are summed at a time; a task holds so many of 2 * 8 * RANGE bytes, however many blocks there are.
+FAN_IN = 64
 #: White space around names that is removed.
 SPACE = r"\s\x0B\p{Z}"
 
@@ -58,8 +60,8 @@ def _arrays(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sum of the blocks' arrays of one range: as many rows as there are blocks."""
-    return pd.DataFrame({"range_id": [rows["range_id"].iloc[0]], "block": [0], "occurrences": [np.sum(np.stack(list(rows["occurrences"])), axis=0)], "records": [np.sum(np.stack(list(rows["records"])), axis=0)]})
+    """Sum of at most FAN_IN arrays of one range."""
+    return pd.DataFrame({"range_id": [rows["range_id"].iloc[0]], "block": [rows["block"].iloc[0]], "occurrences": [np.sum(np.stack(list(rows["occurrences"])), axis=0)], "records": [np.sum(np.stack(list(rows["records"])), axis=0)]})
 
 
 def value_counts(records: DataFrame, names: str = "names") -> DataFrame:
@@ -76,8 +78,12 @@ def value_counts(records: DataFrame, names: str = "names") -> DataFrame:
     ids = dictionary(counted)
     encoded = counted.join(ids, "value").select("block", (F.col("id") / RANGE).cast("bigint").alias("range_id"), "id", "occurrences", "records")
     arrays = encoded.groupBy("range_id", "block").applyInPandas(_arrays, ARRAYS)
-    total = arrays.groupBy("range_id").applyInPandas(_summed, ARRAYS)
-    by_id = total.select("range_id", F.posexplode(F.arrays_zip("occurrences", "records")).alias("at", "n")).select((F.col("range_id") * RANGE + F.col("at")).alias("id"), F.col("n.occurrences").alias("occurrences"), F.col("n.records").alias("records"))
+    n_blocks = 1 + (counted.agg(F.max("block").alias("last")).first()["last"] or 0)
+    # a tree of sums: each level adds up FAN_IN blocks, so no group grows with the number of blocks
+    while n_blocks > 1:
+        arrays = arrays.withColumn("block", F.expr(f"CAST(block div {FAN_IN} AS INT)")).groupBy("range_id", "block").applyInPandas(_summed, ARRAYS)
+        n_blocks = -(-n_blocks // FAN_IN)
+    by_id = arrays.select("range_id", F.posexplode(F.arrays_zip("occurrences", "records")).alias("at", "n")).select((F.col("range_id") * RANGE + F.col("at")).alias("id"), F.col("n.occurrences").alias("occurrences"), F.col("n.records").alias("records"))
     return by_id.where("records > 0").join(ids, "id").select("value", "occurrences", "records")
 
 

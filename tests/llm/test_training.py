@@ -262,3 +262,23 @@ def test_methods_with_long_parameters_and_wrapped_types():
     many = ",\n".join(f"    parameter_{k}: string" for k in range(300))
     ts = f"class A {{\n  /** M. */\n  m(\n{many}\n  ): void {{\n    x();\n  }}\n  /** N. */\n  n(a = ')'): Promise<\n    {{ b: string }}\n  > {{\n    return y(a);\n  }}\n}}\ninterface I {{\n  o(a: string): {{ b: string }};\n  p(): void\n  q: {{ b: string }}\n}}\n"
     assert [(n, ts[s:e].rstrip()[-14:].split()[-2:], d) for n, _, s, e, d in function_docs.functions_of(ts, "TypeScript")] == [("m", ["x();", "}"], "/** M. */"), ("n", ["y(a);", "}"], "/** N. */")]
+
+
+def test_count_arrays_are_summed_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(value_counts, "FAN_IN", 2)
+    rows = [([f"v{k % 50}", "all"],) for k in range(400)]
+    df = spark.createDataFrame(rows, "names ARRAY<STRING>").repartition(9)
+    found = {r["value"]: (r["occurrences"], r["records"]) for r in value_counts.value_counts(df).collect()}
+    assert found == {f"v{k}": (8, 8) for k in range(50)} | {"all": (400, 400)}
+
+
+def test_units_and_their_frequencies(spark):
+    rows = [(1, ["b", "a", "b", None, ""], "", 0.0), (1, ["b", "a"], "", 0.0), (2, ["x"] * 5000 + ["y"], "", 0.0), (3, [None], "", 0.0), (4, None, "", 0.0), (None, ["a"], "", 0.0)]
+    found = {(r["unit_id"], r["term"]): (r["tf"], r["len"]) for r in term_weight.unit_terms(spark.createDataFrame(rows, UNITS)).collect()}
+    assert found == {(1, "a"): (1, 3), (1, "b"): (2, 3), (2, "x"): (5000, 5001), (2, "y"): (1, 5001)}
+
+
+def test_probes_may_repeat_and_miss(spark):
+    df = spark.createDataFrame([(1, ["a", "a", "b"], "", 0.0), (2, ["b"], "", 0.0)], UNITS)
+    probes = spark.createDataFrame([(1,), (1,), (None,), (99,)], "unit_id BIGINT")
+    assert [tuple(r) for r in term_weight.leading_terms(term_weight.term_scores(df, probes)).collect()] == [(1, "a")]
