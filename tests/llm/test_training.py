@@ -160,7 +160,7 @@ def test_genetic_steps_keep_items():
     sizes = rng.integers(1, 60, 200).tolist()
     population = packing.founders(sizes, 100, 4, rng)
     child = packing.crossover(population[0], population[-1], sizes, 100, rng)
-    for bins, fills in (*population, child, packing.mutated(child, sizes, 100, rng), packing.evolve(sizes, 100, population, 5, rng)):
+    for bins, fills in (*population, child, packing.mutated(child, sizes, 100, rng), *packing.evolve(sizes, 100, population, 5, rng)):
         assert sorted(i for b in bins for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(bins, fills, strict=True))
 
 
@@ -282,3 +282,57 @@ def test_probes_may_repeat_and_miss(spark):
     df = spark.createDataFrame([(1, ["a", "a", "b"], "", 0.0), (2, ["b"], "", 0.0)], UNITS)
     probes = spark.createDataFrame([(1,), (1,), (None,), (99,)], "unit_id BIGINT")
     assert [tuple(r) for r in term_weight.leading_terms(term_weight.term_scores(df, probes)).collect()] == [(1, "a")]
+
+
+def test_the_search_beats_best_fit():
+    import numpy as np
+
+    hard = {
+        "thirds": (np.random.default_rng(1).integers(500, 1100, 1000).tolist(), 2048), "uniform": (np.random.default_rng(2).integers(20, 100, 600).tolist(), 150),
+        "triples": ([x for a, b in zip(np.random.default_rng(3).integers(380, 490, 150).tolist(), np.random.default_rng(4).integers(250, 300, 150).tolist(), strict=True) for x in (a, b, 1000 - a - b)], 1000),
+    }
+    for name, (sizes, capacity) in hard.items():
+        plain = len(packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, capacity)[1])
+        least = packing.least_bins(sizes, capacity)
+        islands = [packing.founders(sizes, capacity, packing.POPULATION, np.random.default_rng(k), least) for k in range(packing.ISLANDS)]
+        founded = min(len(f) for p in islands for _, f in p)
+        for epoch in range(packing.EPOCHS):
+            islands = [packing.evolve(sizes, capacity, [*p, islands[k - 1][0]], packing.GENERATIONS, np.random.default_rng([k, epoch]), least) for k, p in enumerate(islands)]
+        found = min(islands, key=lambda p: len(p[0][1]))[0]
+        print(name, "bound", least, "best fit", plain, "founders", founded, "search", len(found[1]))
+        assert least <= len(found[1]) <= founded < plain
+        assert sorted(i for b in found[0] for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) == f <= capacity for b, f in zip(*found, strict=True))
+
+
+def test_lower_bound():
+    assert packing.least_bins([], 10) == 0 and packing.least_bins([6, 6, 6], 10) == 3 and packing.least_bins([5, 5, 5, 5], 10) == 2 and packing.least_bins([7, 7, 4, 4], 10) == 3 and packing.least_bins([10, 1], 10) == 2
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        sizes = rng.integers(1, 30, rng.integers(1, 7)).tolist()
+        fewest = len(sizes)
+
+        def place(k, bins):  # noqa: ANN001, ANN202
+            nonlocal fewest
+            if k == len(sizes):
+                fewest = min(fewest, len(bins))
+            elif len(bins) < fewest + 1:
+                for j in range(len(bins)):
+                    if bins[j] + sizes[k] <= 30:
+                        place(k + 1, [*bins[:j], bins[j] + sizes[k], *bins[j + 1 :]])
+                place(k + 1, [*bins, sizes[k]])
+
+        place(0, [])
+        assert packing.least_bins(sizes, 30) <= fewest
+
+
+def test_islands_that_are_searched_keep_all_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(packing, "least_bins", lambda sizes, capacity: 1)
+    df = spark.createDataFrame([(k, " ".join(rng.choice(["alpha", "beta"]) for _ in range(rng.randrange(1, 40)))) for k in range(120)], "doc_id BIGINT, text STRING")
+    rows = packing.packed(df, spark.createDataFrame([(1, 50)], "window_id BIGINT, capacity_tokens BIGINT"), block=50).collect()
+    fill = Counter()
+    for r in rows:
+        fill[r["container"]] += r["n_tokens"]
+    assert sorted(r["doc_id"] for r in rows) == list(range(120)) and max(fill.values()) <= 50
