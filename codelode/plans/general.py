@@ -9,7 +9,7 @@ QUERIES = {
     "p1_found": lambda s, d: snapshot_diff.snapshot_changes(table(s, d, "file_snapshots")),
     "p1_totals": lambda s, d: snapshot_diff.change_totals(snapshot_diff.snapshot_changes(table(s, d, "file_snapshots"))),
     "p6_found": lambda s, d: change_log.replayed(table(s, d, "change_events")),
-    "p6_tombstones": lambda s, d: change_log.latest(change_log.changes_of(table(s, d, "change_events"))).where("not alive").select("repo", "path", "seq"),
+    "p6_tombstones": lambda s, d: change_log.change_log(table(s, d, "change_events")).merged().where("not alive").select("repo", "path", "seq"),
 }
 
 _CHANGES = """

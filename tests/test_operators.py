@@ -84,7 +84,33 @@ def test_change_log_runs_compact_and_repeat(spark):
             last[p] = (s, a, e, ir)
     want = {(p, x[3][1]) for p, x in last.items() if x[2] == "updated"}
     assert {(r["path"], r["content_hash"]) for r in log.read().collect()} == want
-    assert len(log.runs()) <= 4
+    assert len(log.runs()) <= 3 and log.compactions() >= 2
+    # a reader that began before a compaction still finds its runs
+    before = log.merged()
+    log.compact()
+    assert log.runs()[0].startswith("compacted-") and {(r["path"], r["content_hash"]) for r in before.where("alive").collect()} == want
+    # the log is found again under its path, with its own number of parts
+    assert {(r["path"], r["content_hash"]) for r in change_log.ChangeLog(spark, log.path, parts=99).read().collect()} == want and change_log.ChangeLog(spark, log.path, parts=99).parts == log.parts
+
+
+def test_merge_of_sorted_runs():
+    rng = random.Random(4)
+    rows = [(rng.choice([None, "a", "ä"]), f"p{rng.randrange(9)}", rng.randrange(40), rng.choice([None, 1, 2]), rng.random() < 0.5, rng.choice([None, "h", "g"])) for _ in range(400)]
+    runs = [sorted(rows[k::6], key=change_log._key) for k in range(5)] + [rows[5::6]]
+    want = {}
+    for r in rows:
+        if r[:2] not in want or change_log._key(want[r[:2]]) < change_log._key(r):
+            want[r[:2]] = r
+    merged = change_log.merge_runs(runs)
+    assert {r[:2]: r for r in merged} == want and len(merged) == len(want) and merged == sorted(merged, key=change_log._key)
+
+
+def test_deliveries_are_appended_in_one_pass_and_compacted(spark):
+    rows = [(k, None if k % 3 else "a", k % 70, "updated" if k % 5 else "deleted", f"p{k % 12}", (f"p{k % 12}", f"h{k}") if k % 5 else None) for k in range(300)]
+    log = change_log.change_log(feed(spark, rows))
+    assert log.compactions() == 1 and 2 <= len(log.runs()) <= 8
+    assert {tuple(r) for r in log.read().collect()} == {tuple(r) for r in change_log.state_after(change_log.changes_of(feed(spark, rows))).collect()}
+    assert change_log.replayed(feed(spark, [])).count() == 0 and change_log.replayed(feed(spark, [(None, None, 3, "updated", "x", ("x", None))])).collect()[0][1:] == ("x", None)
 
 
 # --- functions
