@@ -54,6 +54,46 @@ def test_snapshot_changes_brute_force(spark):
     assert diff(spark, rows) == want
 
 
+def test_bitmaps():
+    import numpy as np
+
+    from codelode.operators.snapshot_diff import Bitmap
+
+    rng = np.random.default_rng(1)
+    sets = [np.arange(100_000), rng.integers(0, 200_000, 60_000), rng.integers(0, 300_000, 50), np.array([65535, 65536, 131071]), np.zeros(0, np.int64), np.arange(0, 65536)]
+    for a in sets:
+        assert Bitmap.from_bytes(Bitmap.of(a).to_bytes()).ordinals().tolist() == sorted(set(a.tolist()))
+        for b in sets:
+            assert Bitmap.of(a).and_not(Bitmap.of(b)).ordinals().tolist() == sorted(set(a.tolist()) - set(b.tolist())) and Bitmap.of(a).and_(Bitmap.of(b)).ordinals().tolist() == sorted(set(a.tolist()) & set(b.tolist()))
+    assert len(Bitmap.of(sets[0]).to_bytes()) < 50  # runs
+    assert len(Bitmap.of(sets[2]).to_bytes()) < 200  # members
+
+
+def test_snapshot_store_keeps_ordinals_and_compares_neighbours_only(spark):
+    from codelode.operators.snapshot_diff import SnapshotStore, snapshot_changes
+
+    rng = random.Random(6)
+    rows = [(repo, no, f"p{rng.randrange(40)}", rng.choice(["a", "b", None]), T0 + dt.timedelta(seconds=k)) for repo in ("r", None) for no in (1, 2, 5, 7) for k in range(30)]
+    part = lambda *numbers: spark.createDataFrame([(*r, "", "") for r in rows if r[1] in numbers], SNAP)
+    store = SnapshotStore(spark, bucket_rows=50)
+    ordinals = lambda: {(r["grp"], r["bucket"], x): r["first"] + k for r in store.stored().where("kind = 'dictionary'").collect() for k, x in enumerate(r["items"])}
+    found, kept = {}, {}
+    for numbers in ((1, 2), (7,), (5,)):  # a snapshot that comes late lies between two others
+        changes = {tuple(r) for r in snapshot_changes(part(*numbers), store=store).collect()}
+        assert {r[1] for r in changes} == {1: {2}, 7: {7}, 5: {5, 7}}[numbers[0]]
+        for key, k in kept.items():
+            assert ordinals()[key] == k
+        kept, found = ordinals(), changes
+    whole = {tuple(r) for r in snapshot_changes(part(1, 2, 5, 7)).collect()}
+    decoded = lambda r: (r["grp"][1:] if r["grp"] else None, r["snapshot_no"], r["item"], r["change_kind"])
+    assert {decoded(r) for r in store.changes().collect()} == whole and len(set(kept.values())) <= len(kept) and found <= whole
+    # the same snapshot again, with other rows: it replaces the stored one
+    again = spark.createDataFrame([("r", 5, "p1", "z", T0, "", "")], SNAP)
+    snapshot_changes(again, store=store).collect()
+    now = {tuple(r) for r in snapshot_changes(part(1, 2, 7).unionByName(part(5).where("repo IS NULL")).unionByName(again)).collect()}
+    assert {decoded(r) for r in store.changes().collect()} == now
+
+
 FEED = "arrival_no BIGINT, repo STRING, seq BIGINT, event STRING, path STRING, ir STRUCT<path: STRING, content_hash: STRING>"
 
 
