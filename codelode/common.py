@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -15,23 +17,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process made in shared folders, to be removed by ``release``.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; a private one is set only where that is unset (tests, a single machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, else the checkpoint folder of the context. Only on a single machine (a local master, as in tests) one of its own is made where neither is set; a cluster without
+    a shared folder is an error, as tables on the executors' own disks would be lost."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = f"file://{tempfile.gettempdir()}/codelode-{os.getuid()}-{os.getpid()}"
     spark.sparkContext.setCheckpointDir(own)
+    _MADE.append(own)
     return own
 
 
+def made(path: str) -> str:
+    """Notes a folder for ``release``."""
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Removes all tables, logs and stores that this process has written into the shared folder without being given a path; their number. Results that still read them can't be computed any more."""
+    jvm = spark.sparkContext._jvm
+    removed = 0
+    while _MADE:
+        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _MADE else None
+    if spark is not None:
+        with contextlib.suppress(Exception):
+            release(spark)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cuts lineage by writing ``df`` once into the shared folder and reading it back.
 
-    The copy survives the loss of executors. One call makes one new folder, so a query that runs twice never reads the other run's rows.
+    The copy survives the loss of executors. One call makes one new folder, so a query that runs twice never reads the other run's rows. It is kept until ``release`` or the end of the process.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
+    path = made(f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -100,3 +100,12 @@ def _any(conditions: list[Column]) -> Column:
     for c in conditions[1:]:
         out = out | c
     return out
+
+
+#: Bytes of a message that are decoded.
+MOST_MESSAGE_BYTES = 64 * 1024
+
+
+def bounded_text(raw: Column) -> Column:
+    """The first MOST_MESSAGE_BYTES bytes as text; what is no UTF-8, a letter cut at the end included, becomes replacement characters. Only for tools' messages, never for texts that are data."""
+    return F.make_valid_utf8(F.substring(raw, 1, MOST_MESSAGE_BYTES).cast("string"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.common import shared_dir, slots
+from codelode.common import made, shared_dir, slots
 
 RUN_SCHEMA = "repo STRING, path STRING, seq BIGINT, arrival_no BIGINT, alive BOOLEAN, content_hash STRING"
 COLUMNS = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
@@ -99,7 +99,7 @@ class ChangeLog:
 
     def __init__(self, spark: SparkSession, path: str | None = None, most_runs: int = 8, parts: int | None = None) -> None:
         self.spark, self.most_runs = spark, most_runs
-        self.path = path or f"{shared_dir(spark)}/change-log-{uuid.uuid4().hex}"
+        self.path = path or made(f"{shared_dir(spark)}/change-log-{uuid.uuid4().hex}")
         self.parts = self._manifest().get("parts") or parts or slots(spark)
 
     def _fs(self):  # noqa: ANN202

@@ -118,3 +118,14 @@ def fingerprints(files: DataFrame) -> DataFrame:
     call = F.transform(F.coalesce("calls", F.array()), lambda c: F.concat_ws("|", c["callee_name"], F.coalesce(c["callee_local_key"], F.lit("-")), F.coalesce(c["callee_file"], F.lit("-")), F.coalesce(c["callee_external"].cast("string"), F.lit("-"))))
     imported = F.transform(F.coalesce("imports", F.array()), lambda i: F.concat_ws("|", i["target_module"], F.coalesce(i["resolved"], F.lit("-"))))
     return files.select("repo", "path", F.sha2(F.concat_ws("\n", F.array_join(call, ";"), F.array_join(imported, ";")), 256).alias("fingerprint"))
+
+
+def source_fingerprints(files: DataFrame, versions: str, packages: str = "") -> DataFrame:
+    """``repo, fingerprint``: 16 hex digits over tool versions, packages and the bytes of all source files (``repo, path, text``) in order of their paths.
+
+    Each file is hashed by itself, then each of 256 groups of paths, then the groups in order: no list grows with the files of a repository beyond a 256th of them. Null paths are no files, a null text counts as empty.
+    """
+    one = files.where(F.col("path").isNotNull()).select("repo", F.substring(F.sha2("path", 256), 1, 2).alias("part"), "path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    listed = lambda a, b: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: F.concat_ws("\x1f", x[a], x[b])), "\x1e")
+    parts = one.groupBy("repo", "part").agg(F.sha2(listed("path", "h"), 256).alias("h"))
+    return parts.groupBy("repo").agg(F.substring(F.sha2(F.concat_ws("\x1d", F.lit(versions), F.lit(packages), listed("part", "h")), 256), 1, 16).alias("fingerprint"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import norm_query
@@ -57,3 +59,52 @@ def learned(trails: DataFrame, usage: DataFrame, holdout: float = 0.2, least: in
     p, h = F.col("used") / F.col("total"), F.col("h_used") / F.col("h_total")
     polarity = F.when((p >= PROMOTE) & (h.isNull() | (h >= CONFIRM)), "promote").when((p <= DEMOTE) & (h.isNull() | (h <= CONFIRM)), "demote")
     return rows.where(F.col("total") >= least).select("term", polarity.alias("polarity"), F.lit(1.0).alias("weight")).where("polarity IS NOT NULL")
+
+
+LEXICON = "term STRING, polarity STRING, weight DOUBLE"
+#: Version of a saved lexicon, and the terms that one may hold.
+LEXICON_VERSION, MOST_TERMS = 1, 1_000_000
+
+
+def mark_used(spark: SparkSession, query: str, paths: list[str], usage: str) -> None:
+    """Appends that these files were used for a query to the usage feed at ``usage``; at least one file is needed."""
+    from codelode.sources import jsonl
+
+    if not paths:
+        raise ValueError("mark needs at least one path")
+    jsonl.append(spark.createDataFrame([(query, paths)], "query STRING, used ARRAY<STRING>"), usage)
+
+
+def append_trail(trails: DataFrame, path: str) -> None:
+    """Appends trails (``query, candidates (path, terms), values``) to the feed at ``path``."""
+    from codelode.sources import jsonl
+
+    jsonl.append(trails, path)
+
+
+def save_lexicon(terms: DataFrame, path: str, stats: dict[str, int] | None = None) -> None:
+    """Writes rows of ``learned`` as one JSON object with sorted terms: ``version, promote, demote, stats``. Bounded: more than MOST_TERMS terms are an error."""
+    from codelode.sources.jsonl import _fs
+
+    rows = terms.select("term", "polarity", "weight").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a lexicon of more than {MOST_TERMS} terms")
+    sides = {side: {r["term"]: r["weight"] for r in sorted(rows, key=lambda r: r["term"]) if r["polarity"] == side} for side in ("promote", "demote")}
+    text = json.dumps({"version": LEXICON_VERSION, **sides, "stats": dict(sorted((stats or {}).items()))}, indent=2, ensure_ascii=False)
+    fs, p = _fs(terms.sparkSession, path)
+    stream = fs.create(p(path), True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
+def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """``term, polarity, weight`` of a saved lexicon; a missing file is an empty one, a file that is no lexicon an error."""
+    from codelode.sources.jsonl import exists
+
+    if not exists(spark, path):
+        return spark.createDataFrame([], LEXICON)
+    whole = spark.read.schema("version INT, promote MAP<STRING, DOUBLE>, demote MAP<STRING, DOUBLE>").option("multiLine", True).option("mode", "FAILFAST").json(path)
+    sides = [whole.select(F.explode(side).alias("term", "weight")).select("term", F.lit(side).alias("polarity"), "weight") for side in ("promote", "demote")]
+    return sides[0].unionByName(sides[1])

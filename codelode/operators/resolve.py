@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.functions.text import directory, module_prefix, normalized_path
-from codelode.operators.tables import calls, symbols
+from codelode.functions.text import directory, language_of_path, module_prefix, normalized_path
+from codelode.operators.tables import calls, imports, symbols
 
 #: What is tried after a path without extension.
 PROBES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -95,3 +95,12 @@ def probed(rows: DataFrame, files: DataFrame) -> DataFrame:
     variants = keyed.select("repo", "candidate", F.posexplode(tries).alias("priority", "tail")).withColumn("path", F.concat("candidate", "tail"))
     hits = variants.join(files.select("repo", "path").distinct(), ["repo", "path"], "left_semi").groupBy("repo", "candidate").agg(F.min_by("path", "priority").alias("resolved"))
     return rows.join(hits, ["repo", "candidate"], "left")
+
+
+def linked_imports(files: DataFrame, configs: DataFrame | None = None) -> DataFrame:
+    """The import rows of TypeScript and JavaScript files with ``resolved`` set anew: the file that the specifier leads to, directly or through the nearest configuration's aliases; the imports of other languages as they are."""
+    rows = imports(files)
+    script = language_of_path(F.col("path")).isin("TypeScript", "JavaScript")
+    mine = rows.where(script).drop("resolved")
+    found = probed(import_candidates(mine, configs), files.select("repo", "path"))
+    return found.select(*rows.columns).unionByName(rows.where(~script | script.isNull()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.common import written
 from codelode.functions.text import est_tokens
 
 #: Version of the text; least and most budget; tokens kept for header and footer; names on a file's line.
@@ -65,14 +66,18 @@ def rendered(files: DataFrame, budget: int = 2500, title: str = TITLE) -> DataFr
     rows = allocated(entries(files), budget)
     content, n = _assembled(budget, title)
     rows = rows.withColumn("content", content).withColumn("files", n)
-    # bounded: every turn degrades one entry of each text that is too long
-    for _ in range(4):
-        over = est_tokens("content") > budget
-        last = F.aggregate(F.sequence(F.lit(1), F.size("states")), F.lit(0), lambda got, k: F.when(F.element_at("states", k) != "omitted", k).otherwise(got))
-        worse = F.transform("states", lambda s, k: F.when(k + 1 == last, F.when(s == "full", "bare").otherwise("omitted")).otherwise(s))
-        rows = rows.withColumn("states", F.when(over & (F.size("states") > 0), worse).otherwise(F.col("states")))
-        content, n = _assembled(budget, title)
-        rows = rows.withColumn("content", content).withColumn("files", n)
+    # every turn degrades one entry of each text that is too long; a text without entries is as short as it gets
+    while True:
+        for _ in range(4):
+            over = est_tokens("content") > budget
+            last = F.aggregate(F.sequence(F.lit(1), F.size("states")), F.lit(0), lambda got, k: F.when(F.element_at("states", k) != "omitted", k).otherwise(got))
+            worse = F.transform("states", lambda s, k: F.when(k + 1 == last, F.when(s == "full", "bare").otherwise("omitted")).otherwise(s))
+            rows = rows.withColumn("states", F.when(over & (F.size("states") > 0), worse).otherwise(F.col("states")))
+            content, n = _assembled(budget, title)
+            rows = rows.withColumn("content", content).withColumn("files", n)
+        rows = written(rows, "snapshot-turn")
+        if rows.where((est_tokens("content") > budget) & (F.col("files") > 0)).isEmpty():
+            break
     return rows.select("repo", "content", est_tokens("content").alias("est_tokens"), "files", (F.col("n_files") - F.col("files")).alias("omitted"), F.lit(budget).cast("bigint").alias("budget"))
 
 

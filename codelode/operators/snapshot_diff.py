@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelode.common import shared_dir, written
+from codelode.common import made, shared_dir, written
 
 #: Rows of one bucket of a group, roughly, at its first load. A bucket is what one task holds at a time.
 BUCKET_ROWS = 200_000
@@ -159,7 +159,7 @@ class SnapshotStore:
 
     def __init__(self, spark: SparkSession, path: str | None = None, bucket_rows: int = BUCKET_ROWS) -> None:
         self.spark, self.bucket_rows = spark, bucket_rows
-        self.path = path or f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+        self.path = path or made(f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}")
 
     def _versions(self) -> list[int]:
         jvm = self.spark.sparkContext._jvm

@@ -27,10 +27,19 @@ def diagnostics(files: DataFrame) -> DataFrame:
     return _flat(files, "diagnostics", "diag_ord")
 
 
+def _nested(files: DataFrame, rows: DataFrame, column: str, order: str) -> DataFrame:
+    fields = [c for c in rows.columns if c not in ("repo", "path", order)]
+    lists = rows.groupBy("repo", "path").agg(F.sort_array(F.collect_list(F.struct(order, F.struct(*fields).alias("x")))).alias("rows"))
+    lists = lists.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.transform("rows", lambda x: x["x"]).alias("_list"))
+    joined = files.join(lists, F.col("repo").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p")), "left")
+    return joined.withColumn(column, F.coalesce("_list", F.array().cast(lists.schema["_list"].dataType))).drop("_r", "_p", "_list")
+
+
 def nested_calls(files: DataFrame, calls_: DataFrame) -> DataFrame:
     """Puts changed call rows back into the files' records, in order. A file without calls gets an empty list."""
-    fields = [c for c in calls_.columns if c not in ("repo", "path", "call_ord")]
-    lists = calls_.groupBy("repo", "path").agg(F.sort_array(F.collect_list(F.struct("call_ord", F.struct(*fields).alias("call")))).alias("rows"))
-    lists = lists.select(F.col("repo").alias("_r"), F.col("path").alias("_p"), F.transform("rows", lambda x: x["call"]).alias("_calls"))
-    joined = files.join(lists, F.col("repo").eqNullSafe(F.col("_r")) & (F.col("path") == F.col("_p")), "left")
-    return joined.withColumn("calls", F.coalesce("_calls", F.array().cast(lists.schema["_calls"].dataType))).drop("_r", "_p", "_calls")
+    return _nested(files, calls_, "calls", "call_ord")
+
+
+def nested_imports(files: DataFrame, imports_: DataFrame) -> DataFrame:
+    """Puts changed import rows back into the files' records, in order. A file without imports gets an empty list."""
+    return _nested(files, imports_, "imports", "imp_ord")

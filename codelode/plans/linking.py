@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codelode.common import table
+from codelode.common import table, written
 from codelode.functions import text as T
-from codelode.operators import graph, resolve, scip, tables
+from codelode.operators import config, graph, report, resolve, scip, tables
 from codelode.plans.records import _BY_NAME, _BY_PATH, CALL, CUR, SYM, current
 
 def _by_language(s: SparkSession, d: str) -> DataFrame:
@@ -84,7 +84,31 @@ def occurrences(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return defs.unionByName(refs), kinds
 
 
+def _path_pairs(s: SparkSession, d: str) -> DataFrame:
+    """The edges between neighbours of each file's first symbol within two hops: consecutive pairs of the walked paths."""
+    files = current(s, d, "symbols", "calls").where("repo IS NOT NULL")
+    pairs = written(graph.adjacency(graph.edges(files)), "pairs")
+    start = graph.nodes(files).groupBy("repo").agg(F.min("node").alias("node"))
+    rows = report.steps(graph.reach(pairs, start, 2), pairs)
+    return rows.select("repo", F.col("node.path").alias("path"), F.col("node.sym_ord").alias("ord"), "step", F.col("caller.path").alias("caller_path"), F.col("callee.path").alias("callee_path"), "call_line")
+
+
+def _configs(s: SparkSession, d: str) -> DataFrame:
+    """Configuration files for the folders of each repository: those with a name of even length inherit from one at the root and have a base of their own, the others declare their own paths."""
+    dirs = current(s, d, "imports").select("repo", F.regexp_extract("path", r"^((?:packages|crates|src)/[^/]+)/", 1).alias("dir")).where("dir <> '' AND repo IS NOT NULL").distinct()
+    inherits = F.lit('{"extends": ["../../tsconfig.base"], "compilerOptions": {"baseUrl": "src/"}}')
+    own = F.lit('{"compilerOptions": {"paths": {"~/*": ["./*", 3], "none": []}}}')
+    files = dirs.select("repo", F.concat("dir", F.lit("/tsconfig.json")).alias("path"), F.when(F.length("dir") % 2 == 0, inherits).otherwise(own).alias("text"))
+    roots = dirs.select("repo").distinct().select("repo", F.lit("tsconfig.base.json").alias("path"), F.lit('{"compilerOptions": {"baseUrl": "./", "paths": {"@/*": ["lib/*"]}}}').alias("text"))
+    return config.effective(files.unionByName(roots)).select("repo", "dir", "base_url", F.to_json("paths").alias("paths"))
+
+
 QUERIES = {
+    "config_effective": _configs,
+    "caller_lines": lambda s, d: _neighbours(True)(s, d).select("repo", report.edge_line(True).alias("text")),
+    "callee_lines": lambda s, d: _neighbours(False)(s, d).select("repo", report.edge_line(False).alias("text")),
+    "path_pairs": _path_pairs,
+    "binding_names": lambda s, d: scip.bindings(*occurrences(s, d)).select("file", "line", F.col("column").alias("place"), "callee_qualified_name"),
     "resolve_in_file": lambda s, d: resolve.in_file(_by_language(s, d)),
     "resolve_cross_file": lambda s, d: resolve.across_files(current(s, d, "symbols", "calls")).select("repo", "path", "call_ord", "callee_name", "callee_file", "callee_external"),
     "resolve_links": _imports,
@@ -131,6 +155,9 @@ _PROBE = "CASE WHEN contains(list_extract(string_split(candidate, '/'), -1), '.'
 _NORMAL = r"""list_reduce(string_split(regexp_replace(path, '/?[^/]*$', '') || '/' || target_module, '/'), lambda a, p: CASE WHEN p IN ('', '.') THEN a WHEN p = '..' THEN CASE WHEN contains(a, '/') THEN regexp_replace(a, '/[^/]*$', '') ELSE '' END WHEN a = '' THEN p ELSE a || '/' || p END, '')"""
 _BY_EXT = r"regexp_matches(path, '\.(tsx?|[mc]?js|jsx)$')"
 
+_BINDINGS = f"""{_HEADS}{_SCIP}, named AS (SELECT *, string_split(replace(regexp_extract(symbol, '([^/]*)$', 1), '().', ''), '#') AS parts FROM bound)
+  SELECT file, line, 4::BIGINT AS place, CASE WHEN len(parts) > 1 THEN parts[-2] || '::' || parts[-1] ELSE parts[-1] END AS callee_qualified_name FROM named"""
+
 ORACLE = {
     "resolve_in_file": rf"""WITH {CUR}, {SYM}, {CALL}, lang AS (SELECT repo, path, coalesce({_BY_NAME}, {_BY_PATH}) AS language FROM cur),
       by_name AS (SELECT repo, path, name AS k, min_by(local_key, sym_ord) AS v FROM sym WHERE name IS NOT NULL GROUP BY ALL), by_qual AS (SELECT repo, path, qualified_name AS k, min_by(local_key, sym_ord) AS v FROM sym WHERE qualified_name IS NOT NULL GROUP BY ALL),
@@ -159,6 +186,16 @@ ORACLE = {
     "adjacency": f"{_GRAPH} SELECT * FROM pair",
     "callers": f"{_GRAPH}, {_COMMON.format('callee')} SELECT p.repo, callee_path AS of_path, o.qualified_name AS \"of\", caller_path AS path, s.qualified_name, call_line AS line, inferred FROM pair p JOIN own o ON p.repo = o.repo AND p.callee_path = o.path AND p.callee_ord = o.sym_ord JOIN sym s ON p.repo = s.repo AND p.caller_path = s.path AND p.caller_ord = s.sym_ord",
     "callees": f"{_GRAPH}, {_COMMON.format('caller')} SELECT p.repo, caller_path AS of_path, o.qualified_name AS \"of\", callee_path AS path, s.qualified_name, call_line AS line, inferred FROM pair p JOIN own o ON p.repo = o.repo AND p.caller_path = o.path AND p.caller_ord = o.sym_ord JOIN sym s ON p.repo = s.repo AND p.callee_path = s.path AND p.callee_ord = s.sym_ord",
+    "config_effective": f"""WITH {CUR}, dirs AS (SELECT DISTINCT repo, regexp_extract(path, '^((?:packages|crates|src)/[^/]+)/', 1) AS dir FROM cur WHERE repo IS NOT NULL) SELECT repo, dir, CASE WHEN length(dir) % 2 = 0 THEN dir || '/src' ELSE dir END AS base_url,
+      CASE WHEN length(dir) % 2 = 0 THEN '{{"@/*":["lib/*"]}}' ELSE '{{"~/*":["./*"]}}' END AS paths FROM dirs WHERE dir <> ''""",
+    "binding_names": _BINDINGS,
+    "path_pairs": f"""WITH {CUR}, {SYM}, {CALL}, {_EDGES}, start AS (SELECT repo, min(struct_pack(path := path, ord := sym_ord)) AS node FROM sym WHERE repo IS NOT NULL GROUP BY repo),
+      link AS (SELECT repo, struct_pack(path := caller_path, ord := caller_ord) AS a, struct_pack(path := callee_path, ord := callee_ord) AS b, call_line FROM pair),
+      one AS (SELECT s.repo, s.node, l.b, l.call_line FROM start s JOIN link l ON s.repo = l.repo AND s.node = l.a WHERE l.b <> s.node),
+      two AS (SELECT l.repo, l.b AS c, min(o.b) AS via, any_value(o.node) AS node FROM one o JOIN link l ON o.repo = l.repo AND o.b = l.a WHERE l.b <> o.node AND NOT EXISTS (SELECT 1 FROM one x WHERE x.repo = l.repo AND x.b = l.b) GROUP BY ALL)
+      SELECT repo, b.path AS path, b.ord AS ord, 1::BIGINT AS step, node.path AS caller_path, b.path AS callee_path, call_line FROM one
+      UNION ALL SELECT t.repo, c.path, c.ord, 1, t.node.path, via.path, o.call_line FROM two t JOIN one o ON t.repo = o.repo AND t.via = o.b
+      UNION ALL SELECT t.repo, c.path, c.ord, 2, via.path, c.path, l.call_line FROM two t JOIN link l ON t.repo = l.repo AND t.via = l.a AND t.c = l.b""",
     "name_lookup_ambiguous": f"WITH {CUR}, {SYM} SELECT repo, name, count(*) AS n, min(path) AS first_path FROM sym GROUP BY repo, name HAVING count(*) > 1",
     "shortest_path": f"""WITH RECURSIVE {_JOINT}, {SYM}, {_JOINT_CALL}, {_EDGES}, start AS (SELECT repo, min((caller_path, caller_ord)) AS n FROM pair GROUP BY repo),
       walk AS (SELECT repo, n[1] AS path, n[2] AS ord, 0 AS hops FROM start UNION SELECT w.repo, p.callee_path, p.callee_ord, hops + 1 FROM walk w JOIN pair p ON w.repo = p.repo AND w.path = p.caller_path AND w.ord = p.caller_ord WHERE hops < 8)
@@ -167,3 +204,5 @@ ORACLE = {
     "scip_unique_def_join": f"{_HEADS}{_SCIP} SELECT file, line, symbol, callee_file, callee_line, dispatch FROM bound",
     "scip_span_align": f"{_HEADS}{_SCIP} SELECT callee_file, count(*) AS n FROM bound b WHERE EXISTS (SELECT 1 FROM sym s WHERE s.repo || '/' || s.path = b.callee_file AND b.callee_line BETWEEN s.start_line AND s.end_line) GROUP BY callee_file",
 }
+ORACLE["caller_lines"] = f"""SELECT repo, '  ' || path || ':' || coalesce(line::VARCHAR, '') || '  ' || qualified_name || CASE WHEN inferred THEN '  (inferred)' ELSE '' END AS text FROM ({ORACLE["callers"]})"""
+ORACLE["callee_lines"] = f"""SELECT repo, '  ' || of_path || ':' || coalesce(line::VARCHAR, '') || '  ' || "of" || ' → ' || qualified_name || CASE WHEN inferred THEN '  (inferred)' ELSE '' END AS text FROM ({ORACLE["callees"]})"""

@@ -50,6 +50,7 @@ QUERIES = {
     "snapshot_entries": lambda s, d: snapshot.entries(current(s, d, "symbols", "language", "line_count")),
     "snapshot_budget": lambda s, d: snapshot.allocated(snapshot.entries(current(s, d, "symbols", "language", "line_count")), 500).select("repo", F.posexplode("states").alias("k", "state")).groupBy("repo", "state").agg(F.count(F.lit(1)).alias("n")),
     "snapshot_render": lambda s, d: snapshot.rendered(current(s, d, "symbols", "language", "line_count"), 500),
+    "source_fingerprints": lambda s, d: files.source_fingerprints(texts(s, d), "tool 1", "core 0.1"),
     "json_envelope": lambda s, d: table(s, d, "search_hits").where("score > 0 AND NOT isnan(score)").groupBy("item_id").agg(F.sum("tokens_est").alias("tokens_est"), F.count(F.lit(1)).alias("n"), F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("hit_id", "path", "line"))).alias("results"))).alias("envelope")).drop("envelope"),
     "ir_summary": lambda s, d: current(s, d, "symbols", "diagnostics", "language").groupBy(T.language_name(F.col("language")).alias("language")).agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.size(F.coalesce("symbols", F.array()))).alias("n_symbols"), F.count_if(F.size(F.coalesce("diagnostics", F.array())) > 0).alias("n_diagnosed")),
 }
@@ -80,6 +81,8 @@ entry AS (SELECT c.repo, c.path, coalesce(line_count, 0) AS line_count, coalesce
   FROM cur c LEFT JOIN names n ON c.repo IS NOT DISTINCT FROM n.repo AND c.path = n.path)"""
 
 ORACLE = {
+    "source_fingerprints": """WITH one AS (SELECT repo, sha256(path)[1:2] AS part, path, sha256(coalesce(text, '')) AS h FROM documents WHERE source = 'repo_file' AND path IS NOT NULL),
+      parts AS (SELECT repo, part, sha256(string_agg(path || chr(31) || h, chr(30) ORDER BY path, h)) AS h FROM one GROUP BY ALL) SELECT repo, sha256('tool 1' || chr(29) || 'core 0.1' || chr(29) || string_agg(part || chr(31) || h, chr(30) ORDER BY part))[1:16] AS fingerprint FROM parts GROUP BY repo""",
     "size_gate": f"WITH {CUR} SELECT repo, path, CASE WHEN coalesce(byte_len, 0) <= 2000 THEN {_BY_PATH} ELSE 'unknown' END AS language, CASE WHEN coalesce(byte_len, 0) <= 2000 THEN coalesce(len(symbols), 0) ELSE 0 END AS n_symbols, CASE WHEN byte_len > 2000 THEN 'Warning' END AS severity, CASE WHEN byte_len > 2000 THEN 'file skipped: ' || byte_len || ' bytes exceeds 2000' END AS message FROM cur",
     "language_filter": f"WITH {CUR} SELECT repo, path, {_BY_PATH} AS by_path, {_BY_NAME} AS by_record FROM cur WHERE {_BY_PATH} IN ('TypeScript', 'Python')",
     "repo_totals": f"WITH {CUR} SELECT repo, count(*) AS n_files, sum(coalesce(len(symbols), 0))::BIGINT AS n_symbols, sum(coalesce(len(calls), 0))::BIGINT AS n_calls FROM cur GROUP BY repo",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelode.common import table, written
+from codelode.common import made, shared_dir, table, written
 from codelode.functions import text as T
-from codelode.operators import change_log, evaluate, files, gate, learn, search
+from codelode.operators import change_log, evaluate, files, gate, learn, report, search
 from codelode.plans.records import CUR, UNITS, current, texts
+from codelode.sources import jsonl
 
 _QUERY = "schedule sealed replica"
 _LEXICON = (["replica", "sealed"], ["path", "kind"])
@@ -83,6 +86,29 @@ def _refingered(s: SparkSession, d: str) -> DataFrame:
     return files.fingerprints(new).join(before, ["repo", "path"], "left").where(~F.col("fingerprint").eqNullSafe(F.col("old"))).select("repo", "path")
 
 
+def _payload(s: SparkSession, d: str) -> DataFrame:
+    """The candidates as a judge gets them, read back from the JSON."""
+    schema = "candidates ARRAY<STRUCT<k: BIGINT, path: STRING, line: BIGINT, kind: STRING, name: STRING, card: STRING>>"
+    rows = gate.payload(gate.candidates(_hits(s, d)))
+    return rows.select("item_id", F.explode(F.from_json("payload", schema)["candidates"]).alias("c")).select("item_id", "c.*")
+
+
+def _saved_lexicon(s: SparkSession, d: str) -> DataFrame:
+    """What was learned, saved as a lexicon and loaded again."""
+    path = made(f"{shared_dir(s)}/lexicon-{uuid.uuid4().hex}.json")
+    learn.save_lexicon(learn.learned(*_trails(s, d)), path)
+    return learn.load_lexicon(s, path)
+
+
+def _marks(s: SparkSession, d: str) -> DataFrame:
+    """Files marked as used for two queries, read back from the feed."""
+    path = made(f"{shared_dir(s)}/usage-{uuid.uuid4().hex}")
+    learn.mark_used(s, "Where is the SEALED replica?", ["a.rs", "b.rs"], path)
+    learn.mark_used(s, _QUERY, ["c.py"], path)
+    rows = jsonl.read_or_empty(s, path, "query STRING, used ARRAY<STRING>")
+    return rows.select(T.norm_query("query").alias("norm"), F.array_join("used", ", ").alias("used"))
+
+
 QUERIES = {
     "doc_freq": lambda s, d: search.document_frequency(_units(s, d)),
     "idf_search_topk": lambda s, d: search.search(_units(s, d), _QUERY, with_fuzzy=False),
@@ -97,7 +123,10 @@ QUERIES = {
     "recall_mean": lambda s, d: evaluate.quality(evaluate.ranked_files(_placed(s, d)), table(s, d, "eval_items").select("item_id", "gold"), 5).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr")),
     "learn_lexicon": lambda s, d: learn.learned(*_trails(s, d)),
     "holdout_split": lambda s, d: learn.with_split(learn.groups(*_trails(s, d)), 0.2).select("first_path", "norm", "held"),
-    "gate_payload": lambda s, d: gate.payload(gate.candidates(_hits(s, d))).select("item_id", F.length("payload").alias("n")),
+    "gate_payload": _payload,
+    "hit_lines": lambda s, d: _hits(s, d).select("hit_id", report.hit_line(True).alias("text")),
+    "lexicon_saved": _saved_lexicon,
+    "usage_marks": _marks,
     "gate_verdicts": lambda s, d: _gated(s, d).select("item_id", "k", "path", "name", F.round("q", 6).alias("q"), F.round("scope", 6).alias("scope"), "verdict"),
     "verdict_cache_join": lambda s, d: _keyed(s, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")),
     "json_answer_extract": lambda s, d: table(s, d, "events").select("event_id", *[a.alias(n) for n, a in zip(("q", "scope"), gate.answers_of(F.concat(F.lit('{"answers": {"q1": {"noul": 0.'), F.get_json_object("props", "$.k"), F.lit("}}}")), F.pmod("event_id", F.lit(2))), strict=True)]),
@@ -125,6 +154,9 @@ _GROUPS = f"""{_HITS}, item AS (SELECT *, {_NORM} AS norm FROM eval_items), used
  split AS (SELECT *, CASE WHEN n >= 2 THEN k > n - least(ceil(n * 0.2), n - 1) ELSE false END AS held FROM numbered)"""
 
 ORACLE = {
+    "gate_payload": f"WITH {_HITS} SELECT item_id, place - 1 AS k, path, line, kind, name, substr(card, 1, 2000) AS card FROM placed WHERE place <= 20",
+    "hit_lines": f"WITH {_HITS} SELECT hit_id, format('{{:.3f}}', score) || ' ' || path || ':' || coalesce(line::VARCHAR, '') || ' ' || coalesce(kind, '') || ' ' || coalesce(name, '') || chr(10) || '  ' || replace(coalesce(card, ''), chr(10), chr(10) || '  ') AS text FROM hit",
+    "usage_marks": "SELECT * FROM (VALUES ('where is the sealed replica', 'a.rs, b.rs'), ('schedule sealed replica', 'c.py')) AS t(norm, used)",
     "doc_freq": f"WITH {CUR}, {UNITS} SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(terms)) AS term FROM unit) GROUP BY term",
     "idf_search_topk": f"{_IDF}, {_SCORED} SELECT repo, path, line, kind, name, round(raw, 9) AS score, content_hash, est_tokens AS tokens_est, card FROM scored JOIN (SELECT repo, path, content_hash FROM cur) USING (repo, path) WHERE round(raw, 9) > 0 ORDER BY score DESC, path, name, line, repo LIMIT 20",
     "lexicon_boost_search": f"""{_IDF}, {_SCORED}, boosted AS (SELECT *, round(greatest(0.0, least(1.5, raw + greatest(-0.2, least(0.2, 0.2 * (len(list_filter(terms, lambda t: t IN ('replica', 'sealed'))) - len(list_filter(terms, lambda t: t IN ('path', 'kind')))))))), 9) AS score FROM scored)
@@ -163,3 +195,4 @@ ORACLE = {
     "tombstones": f"WITH {_FEED} SELECT repo, path, seq, arrival_no FROM feed WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY seq DESC, arrival_no DESC) = 1 AND NOT alive",
     "last_write_wins": f"WITH {_FEED}, part AS (SELECT *, path || '@' || (arrival_no // 500) AS p FROM feed WHERE path IS NOT NULL) SELECT repo, p AS path, seq, alive FROM part QUALIFY row_number() OVER (PARTITION BY repo, p ORDER BY seq DESC, arrival_no DESC) = 1",
 }
+ORACLE["lexicon_saved"] = ORACLE["learn_lexicon"]

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.common import written
-from codelode.operators import files, resolve
-from codelode.operators.tables import nested_calls
+from codelode.operators import config, files, resolve
+from codelode.operators.tables import nested_calls, nested_imports
 from codelode.schema import RECORD_DDL
 from codelode.sources.jsonl import _fs
 
@@ -48,6 +48,18 @@ class RecordState:
         version = self._version()
         return self.spark.read.schema(STATE).parquet(f"{self.path}/v{version:09d}") if version else self.spark.createDataFrame([], STATE)
 
+    def configs(self, upto: int | None = None) -> DataFrame:
+        """``repo, path, text`` of the configuration files as of the last batch, or of a version."""
+        fs, p = _fs(self.spark, self.path)
+        names = [s.getPath().getName() for s in fs.listStatus(p(self.path))] if fs.exists(p(self.path)) else []
+        done = [n for n in names if n.startswith("config-") and (upto is None or int(n[7:]) <= upto) and fs.exists(p(f"{self.path}/{n}/_SUCCESS"))]
+        schema = "repo STRING, path STRING, text STRING"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{max(done)}") if done else self.spark.createDataFrame([], schema)
+
+    def _keep_configs(self, rows: DataFrame) -> None:
+        # named after the version of the state that is about to be written: a batch that is run again writes the same folder
+        rows.select("repo", "path", "text").write.mode("overwrite").parquet(f"{self.path}/config-{self._version() + 1:09d}")
+
     def _write(self, state: DataFrame) -> DataFrame:
         version = self._version() + 1
         state.write.mode("overwrite").parquet(f"{self.path}/v{version:09d}")
@@ -63,16 +75,21 @@ class RecordState:
         return records.join(digests, ["repo", "path"])
 
     def _resolved(self, state: DataFrame) -> DataFrame:
-        """All records with fresh cross-file edges and fingerprints."""
+        """All records with fresh cross-file edges, fresh links of imports (relative, and by the aliases of the nearest configuration) and fingerprints."""
         reset = F.transform("calls", lambda c: F.when(c["callee_local_key"].isNull(), c.withField("callee_file", F.lit(None).cast("string")).withField("callee_external", F.lit(False))).otherwise(c))
         cleared = state.withColumn("calls", F.coalesce(reset, F.array().cast(state.schema["calls"].dataType)))
         linked = nested_calls(cleared, resolve.across_files(cleared)).withColumn("calls", F.col("calls").cast(state.schema["calls"].dataType))
+        imports = state.schema["imports"].dataType
+        links = resolve.linked_imports(linked.withColumn("imports", F.coalesce("imports", F.array().cast(imports))), config.effective(self.configs()))
+        linked = nested_imports(linked, links).withColumn("imports", F.col("imports").cast(imports))
         prints = files.fingerprints(linked)
         return linked.drop("fingerprint").join(prints, ["repo", "path"]).select(*[c.strip().split(" ")[0] for c in self.spark.createDataFrame([], STATE).columns])
 
     def snapshot(self, rows: DataFrame) -> DataFrame:
         """Starts over from all files (``repo, path, text``): the state, in which every file counts as updated."""
-        parsed = written(self._parsed(self.ignored(rows)), "parsed")
+        kept = self.ignored(rows)
+        self._keep_configs(kept.where(F.col("path").rlike(_CONFIG) & F.col("text").isNotNull()))
+        parsed = written(self._parsed(kept.where(~F.col("path").rlike(_CONFIG))), "parsed")
         return self._write(self._resolved(parsed.withColumn("fingerprint", F.lit(None).cast("string"))))
 
     def apply(self, changes: DataFrame, batch: int) -> DataFrame:
@@ -83,15 +100,17 @@ class RecordState:
         """
         state = self.read()
         last = self.ignored(latest_per_path(changes)).persist()
-        config = last.where(F.col("path").rlike(_CONFIG))
+        settings = last.where(F.col("path").rlike(_CONFIG))
         rows = last.where(~F.col("path").rlike(_CONFIG))
         gone = rows.where("deleted").join(state.select("repo", "path"), ["repo", "path"], "left_semi").select("repo", "path")
         edits = rows.where("NOT deleted AND text IS NOT NULL").withColumn("digest", F.sha2("text", 256)).join(state.select("repo", "path", "digest"), ["repo", "path", "digest"], "left_anti")
         end = lambda n: self.spark.range(1).select(F.lit("batch_end").alias("event"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("content_hash"), F.lit(batch).cast("bigint").alias("batch"), F.lit(n).cast("bigint").alias("changed"))
-        if gone.isEmpty() and edits.isEmpty() and config.isEmpty():
+        if gone.isEmpty() and edits.isEmpty() and settings.isEmpty():
             last.unpersist()
             return end(0)
         parsed = written(self._parsed(edits.select("repo", "path", "text")).withColumn("fingerprint", F.lit(None).cast("string")), f"parsed-{batch}")
+        if not settings.isEmpty():
+            self._keep_configs(self.configs(self._version()).join(settings.select("repo", "path"), ["repo", "path"], "left_anti").unionByName(settings.where("NOT deleted AND text IS NOT NULL").select("repo", "path", "text")))
         kept = state.join(gone, ["repo", "path"], "left_anti").join(parsed.select("repo", "path"), ["repo", "path"], "left_anti")
         now = self._write(self._resolved(kept.unionByName(parsed.select(*kept.columns))))
         before = state.select("repo", "path", F.col("fingerprint").alias("old"), F.col("digest").alias("old_digest"))

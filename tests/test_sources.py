@@ -131,6 +131,20 @@ def test_incremental(spark, tmp_path):
     assert apply([], 5) == [("batch_end", "", 0)]
 
 
+def test_configurations_are_resolved_anew(spark, tmp_path):
+    state = deltas.RecordState(spark, f"file://{tmp_path}/state", repository.parse)
+    base = '{"compilerOptions": {"baseUrl": ".", "paths": {"@/*": ["lib/*"]}}}'
+    files = [("r", "app/main.ts", "import { a } from '@/a';\nimport b from './b';\n"), ("r", "lib/a.ts", "export const a = 1;\n"), ("r", "other/a.ts", "export const a = 1;\n"), ("r", "app/b.ts", ""), ("r", "app/tsconfig.json", '{"extends": "../tsconfig.base"}'), ("r", "tsconfig.base.json", base)]
+    first = state.snapshot(spark.createDataFrame(files, "repo STRING, path STRING, text STRING"))
+    links = lambda df: sorted({i["resolved"] for i in df.where("path = 'app/main.ts'").first()["imports"]}, key=str)
+    assert links(first) == ["app/b.ts", "lib/a.ts"] and first.count() == 4
+    events = lambda rows, n: sorted((r["event"], r["path"] or "") for r in state.apply(spark.createDataFrame(rows, deltas.CHANGE), n).collect())
+    assert events([change("tsconfig.base.json", base.replace("lib/*", "other/*"))], 1) == [("batch_end", ""), ("updated", "app/main.ts")]
+    assert links(state.read()) == ["app/b.ts", "other/a.ts"]
+    assert events([change("app/tsconfig.json", kind="remove", deleted=True)], 2) == [("batch_end", ""), ("updated", "app/main.ts")] and links(state.read()) == [None, "app/b.ts"] and {r["path"] for r in state.configs().collect()} == {"tsconfig.base.json"}
+    assert events([change("app/b.ts", kind="remove", deleted=True)], 3) == [("batch_end", ""), ("deleted", "app/b.ts"), ("updated", "app/main.ts")]
+
+
 def test_stream(spark, tmp_path):
     state = deltas.RecordState(spark, f"file://{tmp_path}/state", repository.parse)
     (tmp_path / "in").mkdir()
