@@ -12,7 +12,6 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import pairwise
 from re import _constants as _ops
 from re import _parser
 
@@ -204,7 +203,8 @@ def _automaton() -> ahocorasick.Automaton:
 
 _NEEDED = _automaton()
 
-_SENTENCE = re.compile(r"(?<=[.!?;])\s+|(?<=[.!?])[\"'`]+\s|\s(?=<\w+> )|\s(?=- )")
+# where folded text, whose white space is single blanks, is cut: every way begins with a blank or a quote, which is found fast
+_SENTENCE = re.compile(r" (?:(?<=[.!?;] )|(?=<\w+> )|(?=- ))|[\"'`](?<=[.!?].)[\"'`]* ")
 
 
 def sentences(text: str) -> list[str]:
@@ -237,27 +237,36 @@ def votes_of(sentence: str) -> int:
 
 
 class _Words(dict):
-    """Per word its feature, its bytes and the checksum with which its pairs begin; forgets all when it is full."""
+    """Checksum of each word; forgets all when it is full."""
 
-    def __missing__(self, word: str) -> tuple[int, bytes, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > 200_000:
             self.clear()
-        raw = word.encode()
-        told = self[word] = (zlib.crc32(raw) % FEATURES, raw, zlib.crc32(raw + b" "))
+        told = self[word] = zlib.crc32(word.encode())
         return told
 
 
 _WORDS = _Words()
-
-
-def features_of(words: list[str], votes: int) -> list[int]:
-    """Hashed words and word pairs, and the votes."""
-    told = [_WORDS[w] for w in words]
-    features = {x[0] for x in told}
-    features.update(zlib.crc32(w[1], v[2]) % FEATURES for v, w in pairwise(told))
-    if votes:
-        features.update(FEATURES + k for k in range(len(VOTERS)) if votes >> k & 1)
-    return sorted(features)
+_VOTES = 1 << np.arange(len(VOTERS), dtype=np.int64)
+
+
+def features_of(sentences_: list[tuple[int, list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and word pairs, and the votes, of (votes, words) rows: the features of all rows one after the other, sorted and each once in a row, and their numbers."""
+    n = len(sentences_)
+    lengths = np.array([len(w) for _, w in sentences_], np.int64)
+    total = int(lengths.sum())
+    h = np.fromiter(map(_WORDS.__getitem__, [w for _, words in sentences_ for w in words]), np.uint64, total)
+    row = np.repeat(np.arange(n), lengths)
+    same = row[1:] == row[:-1]
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[same]
+    pair ^= pair >> np.uint64(32)
+    votes = np.array([v for v, _ in sentences_], np.int64)
+    at, k = np.nonzero(votes[:, None] & _VOTES[None, :]) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    wide = np.uint64(FEATURES)
+    keys = np.concatenate([row * (2 * FEATURES) + (h % wide).astype(np.int64), row[1:][same] * (2 * FEATURES) + (pair % wide).astype(np.int64), at * (2 * FEATURES) + FEATURES + k])
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+    return (keys % (2 * FEATURES)).astype(np.int32), np.bincount(keys // (2 * FEATURES), minlength=n)
 
 
 def _stretches(sentence: str, votes: int) -> Iterator[tuple[int, list[str]]]:
@@ -277,22 +286,32 @@ def _stretches(sentence: str, votes: int) -> Iterator[tuple[int, list[str]]]:
         first = max(last, first + 1)
 
 
-def examined(text: str) -> list[tuple[int, list[int]]]:
-    """(votes, hashed features) of every sentence; of a long one, of each of its stretches."""
+def _said(text: str) -> list[tuple[int, list[str]]]:
+    """(votes, words) of every sentence; of a long one, of each of its stretches. What has neither is left out."""
     out = []
     for sentence in sentences(text):
         votes = votes_of(sentence)
         if len(sentence) > STRETCH:
-            out += [(v, f) for v, w in _stretches(sentence, votes) if (f := features_of(w, v))]
-        elif features := features_of(_TOKEN.findall(sentence), votes):
-            out.append((votes, features))
+            out += _stretches(sentence, votes)
+        else:
+            words = _TOKEN.findall(sentence)
+            if words or votes:
+                out.append((votes, words))
     return out
 
 
+def examined(text: str) -> list[tuple[int, list[int]]]:
+    """(votes, hashed features) of every sentence; of a long one, of each of its stretches."""
+    said = _said(text)
+    features, lengths = features_of(said)
+    ends = np.cumsum(lengths)
+    return [(v, features[b - n : b].tolist()) for (v, _), n, b in zip(said, lengths, ends, strict=True)]
+
+
 EXAMINED = "doc_id BIGINT, source STRING, votes ARRAY<INT>, features ARRAY<ARRAY<INT>>"
 
 
-def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int32)), values)
 
 
@@ -300,12 +319,12 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for start in range(0, whole.num_rows, 500):
             batch = whole.slice(start, 500)
-            found = [examined(t) if t else [] for t in batch.column("text").to_pylist()]
+            found = [_said(t) if t else [] for t in batch.column("text").to_pylist()]
             each = [s for f in found for s in f]
-            lengths = [len(f) for f in found]
-            features = _lists([len(f) for _, f in each], pa.array([x for _, f in each for x in f], pa.int32()))
-            votes = _lists(lengths, pa.array([v for v, _ in each], pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), votes, _lists(lengths, features)], names=["doc_id", "source", "votes", "features"])
+            own = np.array([len(f) for f in found], np.int64)
+            features, lengths = features_of(each)
+            votes = _lists(own, pa.array([v for v, _ in each], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), votes, _lists(own, _lists(lengths, pa.array(features)))], names=["doc_id", "source", "votes", "features"])
 
 
 class LabelModel:
