@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codelode.common import written
+
 #: Candidates that a judge sees, characters of a card it gets, version of the questions.
 CANDIDATES, CARD_CHARS, VERSION = 20, 2000, 1
 #: Least value of each band; below the last a candidate is dropped.
@@ -46,15 +48,22 @@ def answers_of(json: Column, k: Column) -> tuple[Column, Column]:
     return got("q"), got("scope")
 
 
+def cached(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """Adds the cached answer ``a`` (``q, scope``) to candidates, null where their ``key`` is not in the cache (``key, ord, q, scope``; of equal keys the lowest ``ord`` holds)."""
+    known = cache.groupBy("key").agg(F.min_by(F.struct("q", "scope"), "ord").alias("a"))
+    return rows.join(known, "key", "left")
+
+
 def gated(rows: DataFrame, cache: DataFrame, evaluate: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds ``q, scope, verdict`` to candidates and removes the dropped ones.
 
     ``cache``: ``key, ord, q, scope``; of equal keys the lowest ``ord`` holds. Candidates whose ``key`` is not in the cache go to ``evaluate``, which returns ``key, q, scope``
     (of several answers for a key the greatest holds).
     """
-    known = cache.groupBy("key").agg(F.min_by(F.struct("q", "scope"), "ord").alias("a"))
-    hits = rows.join(known, "key").select(*rows.columns, "a.q", "a.scope")
-    misses = rows.join(known.select("key"), "key", "left_anti")
+    # candidates are at most CANDIDATES rows per query; the join with the cache is written once for hits and misses
+    looked = written(cached(rows, cache), "gate-cache")
+    hits = looked.where("a IS NOT NULL").select(*rows.columns, "a.q", "a.scope")
+    misses = looked.where("a IS NULL").select(*rows.columns)
     fresh = misses.join(evaluate(misses).groupBy("key").agg(F.max(F.struct("q", "scope")).alias("a")).select("key", "a.q", "a.scope"), "key", "left")
     both = hits.unionByName(fresh.select(*rows.columns, F.coalesce("q", F.lit(0.0)).alias("q"), F.coalesce("scope", F.lit(0.0)).alias("scope")))
     return both.withColumn("verdict", verdict(F.col("q"), F.col("scope"))).where("verdict <> 'dropped'")

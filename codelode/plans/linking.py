@@ -48,7 +48,8 @@ def _busiest(files: DataFrame, callers: bool) -> str:
 
 
 def _shortest(s: SparkSession, d: str) -> DataFrame:
-    pairs = graph.adjacency(_edges(s, d))
+    # every level reads the pairs; the three tiers of edges are resolved once
+    pairs = written(graph.adjacency(_edges(s, d)), "pairs")
     start = pairs.groupBy("repo").agg(F.min("caller").alias("node"))
     reached = graph.reach(pairs, start, 8)
     return reached.select("repo", F.col("node.path").alias("path"), F.col("node.sym_ord").alias("ord"), "hops")
@@ -84,6 +85,13 @@ def occurrences(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return defs.unionByName(refs), kinds
 
 
+def _lookup(s: SparkSession, d: str) -> DataFrame:
+    """All nodes that the name with most nodes may mean."""
+    nodes = graph.nodes(current(s, d, "symbols"))
+    top = nodes.where("name IS NOT NULL").groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").first()
+    return graph.lookup(nodes, top["name"] if top else "").select("repo", "path", "sym_ord", "qualified_name")
+
+
 def _path_pairs(s: SparkSession, d: str) -> DataFrame:
     """The edges between neighbours of each file's first symbol within two hops: consecutive pairs of the walked paths."""
     files = current(s, d, "symbols", "calls").where("repo IS NOT NULL")
@@ -117,7 +125,7 @@ QUERIES = {
     "adjacency": lambda s, d: _flat(graph.adjacency(_edges(s, d))),
     "callers": _neighbours(True),
     "callees": _neighbours(False),
-    "name_lookup_ambiguous": lambda s, d: graph.nodes(current(s, d, "symbols")).groupBy("repo", "name").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path")).where("n > 1"),
+    "name_lookup_ambiguous": _lookup,
     "shortest_path": _shortest,
     "scip_unique_def_join": lambda s, d: scip.bindings(*occurrences(s, d)).select("file", "line", "symbol", "callee_file", "callee_line", "dispatch"),
     "scip_span_align": lambda s, d: scip.aligned(scip.bindings(*occurrences(s, d)), tables.symbols(current(s, d, "symbols")).withColumn("path", F.concat_ws("/", "repo", "path"))).groupBy("callee_file").agg(F.count(F.lit(1)).alias("n")),
@@ -196,7 +204,7 @@ ORACLE = {
       SELECT repo, b.path AS path, b.ord AS ord, 1::BIGINT AS step, node.path AS caller_path, b.path AS callee_path, call_line FROM one
       UNION ALL SELECT t.repo, c.path, c.ord, 1, t.node.path, via.path, o.call_line FROM two t JOIN one o ON t.repo = o.repo AND t.via = o.b
       UNION ALL SELECT t.repo, c.path, c.ord, 2, via.path, c.path, l.call_line FROM two t JOIN link l ON t.repo = l.repo AND t.via = l.a AND t.c = l.b""",
-    "name_lookup_ambiguous": f"WITH {CUR}, {SYM} SELECT repo, name, count(*) AS n, min(path) AS first_path FROM sym GROUP BY repo, name HAVING count(*) > 1",
+    "name_lookup_ambiguous": f"WITH {CUR}, {SYM}, top AS (SELECT name FROM sym WHERE name IS NOT NULL GROUP BY name ORDER BY count(*) DESC, name LIMIT 1) SELECT s.repo, s.path, s.sym_ord, s.qualified_name FROM sym s, top t WHERE s.name = t.name OR s.qualified_name = t.name",
     "shortest_path": f"""WITH RECURSIVE {_JOINT}, {SYM}, {_JOINT_CALL}, {_EDGES}, start AS (SELECT repo, min((caller_path, caller_ord)) AS n FROM pair GROUP BY repo),
       walk AS (SELECT repo, n[1] AS path, n[2] AS ord, 0 AS hops FROM start UNION SELECT w.repo, p.callee_path, p.callee_ord, hops + 1 FROM walk w JOIN pair p ON w.repo = p.repo AND w.path = p.caller_path AND w.ord = p.caller_ord WHERE hops < 8)
       SELECT repo, path, ord, min(hops)::BIGINT AS hops FROM walk GROUP BY repo, path, ord""",

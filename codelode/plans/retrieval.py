@@ -62,10 +62,19 @@ def _judge(rows: DataFrame) -> DataFrame:
     return rows.select("key", F.col("score").alias("q"), (1 - F.least(F.length("card"), F.lit(500)) / 1000).alias("scope"))
 
 
+def _cache(rows: DataFrame) -> DataFrame:
+    """Answers for every other candidate."""
+    return rows.where("k % 2 = 0").select("key", F.col("hit_id").alias("ord"), F.lit(0.8).alias("q"), F.least(F.lit(1.0), F.col("score") + 0.1).alias("scope"))
+
+
 def _gated(s: SparkSession, d: str) -> DataFrame:
     rows = _keyed(s, d)
-    cache = rows.where("k % 2 = 0").select("key", F.col("hit_id").alias("ord"), F.lit(0.8).alias("q"), F.least(F.lit(1.0), F.col("score") + 0.1).alias("scope"))
-    return gate.gated(rows, cache, _judge)
+    return gate.gated(rows, _cache(rows), _judge)
+
+
+def _looked_up(s: SparkSession, d: str) -> DataFrame:
+    rows = _keyed(s, d)
+    return gate.cached(rows, _cache(rows)).select("item_id", "k", "key", F.round("a.q", 6).alias("q"), F.round("a.scope", 6).alias("scope"))
 
 
 def _states(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -121,6 +130,7 @@ QUERIES = {
     "file_rank_first_mention": lambda s, d: evaluate.ranked_files(_placed(s, d), 10),
     "recall_mrr": lambda s, d: evaluate.quality(evaluate.ranked_files(_placed(s, d)), table(s, d, "eval_items").select("item_id", "gold"), 10),
     "recall_mean": lambda s, d: evaluate.quality(evaluate.ranked_files(_placed(s, d)), table(s, d, "eval_items").select("item_id", "gold"), 5).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr")),
+    "own_recall": lambda s, d: evaluate.quality(evaluate.ranked_files(search.batch_search(_units(s, d), table(s, d, "eval_items").select("item_id", "query"), 50)), table(s, d, "eval_items").select("item_id", "gold"), 10),
     "learn_lexicon": lambda s, d: learn.learned(*_trails(s, d)),
     "holdout_split": lambda s, d: learn.with_split(learn.groups(*_trails(s, d)), 0.2).select("first_path", "norm", "held"),
     "gate_payload": _payload,
@@ -128,7 +138,7 @@ QUERIES = {
     "lexicon_saved": _saved_lexicon,
     "usage_marks": _marks,
     "gate_verdicts": lambda s, d: _gated(s, d).select("item_id", "k", "path", "name", F.round("q", 6).alias("q"), F.round("scope", 6).alias("scope"), "verdict"),
-    "verdict_cache_join": lambda s, d: _keyed(s, d).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("item_id").alias("item_id")),
+    "verdict_cache_join": _looked_up,
     "json_answer_extract": lambda s, d: table(s, d, "events").select("event_id", *[a.alias(n) for n, a in zip(("q", "scope"), gate.answers_of(F.concat(F.lit('{"answers": {"q1": {"noul": 0.'), F.get_json_object("props", "$.k"), F.lit("}}}")), F.pmod("event_id", F.lit(2))), strict=True)]),
     "hash_diff": _hash_diff,
     "fingerprint_changed": _refingered,
@@ -153,6 +163,13 @@ _GROUPS = f"""{_HITS}, item AS (SELECT *, {_NORM} AS norm FROM eval_items), used
  grp AS (SELECT t.*, used, candidates[1].path AS first_path FROM trail t JOIN used USING (norm)), numbered AS (SELECT *, row_number() OVER (ORDER BY first_path, norm) AS k, count(*) OVER () AS n FROM grp),
  split AS (SELECT *, CASE WHEN n >= 2 THEN k > n - least(ceil(n * 0.2), n - 1) ELSE false END AS held FROM numbered)"""
 
+_BATCH = rf"""WITH {CUR}, {UNITS}, n AS (SELECT count(*)::DOUBLE AS n FROM unit),
+      q AS (SELECT item_id, unnest({_WORDS.replace("coalesce(card, '')", 'query')}) AS term FROM eval_items), have AS (SELECT DISTINCT repo, path, line, kind, name, unnest(terms) AS term FROM unit),
+      df AS (SELECT term, count(*) AS df FROM (SELECT *, row_number() OVER () FROM (SELECT unnest(list_distinct(terms)) AS term FROM unit)) GROUP BY term),
+      idf AS (SELECT item_id, term, ln(1 + n / (1 + coalesce(df, 0))) AS idf, df FROM q LEFT JOIN df USING (term), n), total AS (SELECT item_id, sum(idf) AS total FROM idf GROUP BY item_id),
+      got AS (SELECT item_id, repo, path, line, kind, name, sum(idf) AS s FROM have JOIN idf USING (term) GROUP BY ALL), scored AS (SELECT got.*, round(s / total, 9) AS score FROM got JOIN total USING (item_id)),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path, name, line, repo, kind) AS place FROM scored)"""
+
 ORACLE = {
     "gate_payload": f"WITH {_HITS} SELECT item_id, place - 1 AS k, path, line, kind, name, substr(card, 1, 2000) AS card FROM placed WHERE place <= 20",
     "hit_lines": f"WITH {_HITS} SELECT hit_id, format('{{:.3f}}', score) || ' ' || path || ':' || coalesce(line::VARCHAR, '') || ' ' || coalesce(kind, '') || ' ' || coalesce(name, '') || chr(10) || '  ' || replace(coalesce(card, ''), chr(10), chr(10) || '  ') AS text FROM hit",
@@ -162,12 +179,8 @@ ORACLE = {
     "lexicon_boost_search": f"""{_IDF}, {_SCORED}, boosted AS (SELECT *, round(greatest(0.0, least(1.5, raw + greatest(-0.2, least(0.2, 0.2 * (len(list_filter(terms, lambda t: t IN ('replica', 'sealed'))) - len(list_filter(terms, lambda t: t IN ('path', 'kind')))))))), 9) AS score FROM scored)
       SELECT repo, path, line, kind, name, score, content_hash, est_tokens AS tokens_est, card FROM boosted JOIN (SELECT repo, path, content_hash FROM cur) USING (repo, path) WHERE score > 0 ORDER BY score DESC, path, name, line, repo LIMIT 20""",
     "regex_search": f"WITH {CUR}, {UNITS} SELECT repo, path, line, kind, name, 1.0::DOUBLE AS score, content_hash, est_tokens AS tokens_est, card FROM unit JOIN (SELECT repo, path, content_hash FROM cur) USING (repo, path) WHERE regexp_matches(name, 'encode_\\w+_replica|Err\\(') OR regexp_matches(card, 'encode_\\w+_replica|Err\\(') ORDER BY path, name, line, repo LIMIT 50",
-    "batch_search": rf"""WITH {CUR}, {UNITS}, n AS (SELECT count(*)::DOUBLE AS n FROM unit),
-      q AS (SELECT item_id, unnest({_WORDS.replace("coalesce(card, '')", 'query')}) AS term FROM eval_items), have AS (SELECT DISTINCT repo, path, line, kind, name, unnest(terms) AS term FROM unit),
-      df AS (SELECT term, count(*) AS df FROM (SELECT *, row_number() OVER () FROM (SELECT unnest(list_distinct(terms)) AS term FROM unit)) GROUP BY term),
-      idf AS (SELECT item_id, term, ln(1 + n / (1 + coalesce(df, 0))) AS idf, df FROM q LEFT JOIN df USING (term), n), total AS (SELECT item_id, sum(idf) AS total FROM idf GROUP BY item_id),
-      got AS (SELECT item_id, repo, path, line, kind, name, sum(idf) AS s FROM have JOIN idf USING (term) GROUP BY ALL), scored AS (SELECT got.*, round(s / total, 9) AS score FROM got JOIN total USING (item_id)),
-      placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path, name, line, repo, kind) AS place FROM scored) SELECT item_id, repo, path, line, name, score, place FROM placed WHERE place <= 10""",
+    "batch_search": f"{_BATCH} SELECT item_id, repo, path, line, name, score, place FROM placed WHERE place <= 10",
+    "own_recall": f"WITH listed AS (SELECT * FROM ({_BATCH} SELECT * FROM placed)), ranked AS (SELECT item_id, path, row_number() OVER (PARTITION BY item_id ORDER BY first, path) AS place FROM (SELECT item_id, path, min(place) AS first FROM listed WHERE place <= 50 GROUP BY ALL)), {_QUALITY.format(10)} SELECT * FROM quality",
     "tf_baseline": "WITH f AS (SELECT repo, path, lower(text) AS t FROM documents WHERE source = 'repo_file' AND path IS NOT NULL), c AS (SELECT repo, path, ((length(t) - length(replace(t, 'replica', ''))) / 7 + (length(t) - length(replace(t, 'sealed', ''))) / 6)::BIGINT AS score FROM f) SELECT * FROM c WHERE score > 0 ORDER BY score DESC, path, repo LIMIT 20",
     "file_rank_first_mention": f"WITH {_RANKED} SELECT item_id, path, place FROM ranked WHERE place <= 10",
     "recall_mrr": f"WITH {_RANKED}, {_QUALITY.format(10)} SELECT * FROM quality",
@@ -181,7 +194,8 @@ ORACLE = {
       judged AS (SELECT c.*, coalesce(a.q, b.q) AS q, coalesce(a.scope, b.scope) AS scope FROM cand c JOIN fresh USING (key) LEFT JOIN cache USING (key)),
       v AS (SELECT *, CASE WHEN least(q, scope) >= 0.7 THEN 'inline' WHEN least(q, scope) >= 0.5 THEN 'include' WHEN least(q, scope) >= 0.25 THEN 'lead' ELSE 'dropped' END AS verdict FROM judged)
       SELECT item_id, k, path, name, round(q, 6) AS q, round(scope, 6) AS scope, verdict FROM v WHERE verdict <> 'dropped'""",
-    "verdict_cache_join": f"WITH {_KEYED} SELECT key, count(*) AS n, min(item_id) AS item_id FROM cand GROUP BY key",
+    "verdict_cache_join": f"""WITH {_KEYED}, cache AS (SELECT key, min_by(struct_pack(q := 0.8::DOUBLE, scope := least(1.0, score + 0.1)), hit_id) AS a FROM cand WHERE k % 2 = 0 GROUP BY key)
+      SELECT item_id, k, key, round(a.q, 6) AS q, round(a.scope, 6) AS scope FROM cand LEFT JOIN cache USING (key)""",
     "json_answer_extract": "SELECT event_id, 0.0::DOUBLE AS q, 0.0::DOUBLE AS scope FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, ('0.' || (props->>'$.k'))::DOUBLE, 0.0 FROM events WHERE event_id % 2 = 1",
     "hash_diff": f"WITH {CUR}, old AS (SELECT repo, path, content_hash FROM file_parse WHERE path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repo, path ORDER BY parsed_at NULLS FIRST, received_at NULLS FIRST) = 1) SELECT repo, path, content_hash FROM cur ANTI JOIN old USING (repo, path, content_hash)",
     "unit_search_topk": """WITH once AS (SELECT unit_id, min(struct_pack(repo := repo, path := path, line := line, kind := kind, name := name, content_hash := content_hash, terms := coalesce(terms, []), target := coalesce(target, ''), card := coalesce(card, ''), est_tokens := est_tokens)) AS u FROM search_units WHERE unit_id IS NOT NULL GROUP BY unit_id),

@@ -14,7 +14,7 @@ from typing import Any
 
 from codelode.operators.files import MOST_CALLS, MOST_DIAGNOSTICS, MOST_IMPORTS, MOST_SYMBOLS
 from codelode.schema import VERSION
-from codelode.sources.grammar import language_of, parses
+from codelode.sources.grammar import language_of, parses, tokens_follow
 from codelode.sources.lexing import Tokens, Unlexable, js_tokens, rust_tokens
 
 _TEST_PATH = {
@@ -882,6 +882,7 @@ def parse_text(path: str, text: str | None) -> list[Any]:
     record |= {"content_hash": hashlib.sha256(raw).hexdigest(), "byte_len": len(raw), "line_count": text.count("\n") + 1}
     broken: list[Unlexable] = []
     comments: list[tuple[int, int]]
+    tokens: Tokens | None = None
     if language == "Python":
         walk: Any = _Python(path, text)
         comments = _python_comments(text)
@@ -896,7 +897,7 @@ def parse_text(path: str, text: str | None) -> list[Any]:
     imports = walk.imports * 2 if language == "TypeScript" else walk.imports  # both passes over a module's imports are kept
     record |= {"metrics": _metrics(text, comments), "docstring": _module_doc(text, language), "symbols": walk.symbols, "calls": walk.calls, "imports": imports}
     _resolved(record["calls"], record["symbols"], language)
-    if broken or not parses(text, language):
+    if broken or not (parses(text, language) if tokens is None or text.startswith("\ufeff") else tokens_follow(tokens, language)):
         at = broken[0].at if broken else None
         where = _Text(text)
         record["diagnostics"].insert(0, {"severity": "Error", "message": str(broken[0]) if broken else "syntax error", "line": where.line(at) if at is not None else None, "byte_span": [where.byte(at), len(raw)] if at is not None else None})

@@ -56,6 +56,17 @@ def _check(tokens: Tokens, language: str) -> None:
     check_rust(tokens) if language == "Rust" else check_script(tokens, language == "TypeScript")
 
 
+def tokens_follow(tokens: Tokens, language: str) -> bool:
+    """Whether tokens that were read already follow the grammar of a language other than Python; see ``parses``."""
+    try:
+        _check(tokens, language)
+    except Broken:
+        return False
+    except (RecursionError, MemoryError):
+        return True
+    return True
+
+
 def _broken_from_the_start(text: str, language: str, known: dict) -> bool:
     """Whether the text's beginning settles that it breaks the grammar: the parser fails before any bracket that the beginning leaves open, so nothing that follows can mend it."""
     script = language != "Rust"
