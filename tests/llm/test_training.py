@@ -8,7 +8,7 @@ import pytest
 
 from codelode.llm import abuse, function_docs, leakage, packing, provenance, queries, syntax, term_weight, value_counts
 from codelode.llm.text import unescaped
-from tests.oracle import DATA, compare
+from tests.oracle import compare
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -16,11 +16,6 @@ def test_twin(spark, name):
     compare(spark, queries.QUERIES[name], queries.ORACLE[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE)))
-def test_runs(spark, name):
-    assert queries.QUERIES[name](spark, DATA).count() >= 0
-
-
 # --- term weights and counts
 
 UNITS = "unit_id BIGINT, terms ARRAY<STRING>, term STRING, score DOUBLE"
