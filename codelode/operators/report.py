@@ -9,9 +9,9 @@ from codelode.operators.graph import lookup
 
 
 def hit_line(cards: bool = False) -> Column:
-    """``score path:line kind name`` of a hit, with ``cards`` its card below, indented. Nulls are empty."""
+    """``score path:line kind name`` of a hit, the score rounded from its exact value to three digits, with ``cards`` its card below, indented. Nulls are empty."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.concat(F.format_string("%.3f", "score"), F.lit(" "), text("path"), F.lit(":"), text("line"), F.lit(" "), text("kind"), F.lit(" "), text("name"))
+    line = F.concat(F.replace(F.format_number("score", 3), F.lit(","), F.lit("")), F.lit(" "), text("path"), F.lit(":"), text("line"), F.lit(" "), text("kind"), F.lit(" "), text("name"))
     return F.concat(line, F.lit("\n  "), F.replace(text("card"), F.lit("\n"), F.lit("\n  "))) if cards else line
 
 
